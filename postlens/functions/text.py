@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # The characters a browser-side trim removes, and size limits of the record.
 _SPACES = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B)]
@@ -59,6 +59,11 @@ def any_of(patterns: Sequence[str]) -> str:
     return "(?:" + "|".join(patterns) + ")"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a computed value once inside an expression that uses it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(TRIM_CHARS))
 
@@ -67,6 +72,11 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def let_blank_to_null(c: Column) -> Column:
+    """As ``blank_to_null``, for a costly argument that must not be written out twice."""
+    return let(c, blank_to_null)
+
+
 def normalize_whitespace(c: Column) -> Column:
     spaced = F.regexp_replace(c, "[\\t\\r \\u00a0]+", " ")
     return trim(F.regexp_replace(spaced, "\\n{3,}", "\n\n"))
@@ -124,7 +134,7 @@ def limit_search_text(c: Column) -> Column:
     return truncate(normalize_whitespace(c), SEARCH_LIMIT)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decompose(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFKD")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import blank_to_null, trim
+from .text import let, trim
 
 # Query parameters that only track a visit, and hosts a feed must not point at.
 TRACKING_PARAM = "(?i)^(?:utm_|fbclid|gclid|mc_cid|mc_eid|ref$|source$)"
@@ -79,7 +79,10 @@ def canonical_url(c: Column) -> Column:
 
     Anything else gives NULL.
     """
-    url = _clean(c)
+    return let(_clean(c), _canonical)
+
+
+def _canonical(url: Column) -> Column:
     pairs = F.filter(F.split(F.substring(_part(url, 4), 2, 1_000_000), "&"), lambda p: p != "")
 
     def recode(text: Column) -> tuple[Column, Column]:
@@ -102,38 +105,32 @@ def canonical_url(c: Column) -> Column:
     return F.when(_web(url), full)
 
 
+def _serialize(url: Column) -> Column:
+    whole = F.concat(
+        F.lower(_part(url, 1)), F.lit("://"), _authority(url), _settle_path(_part(url, 3)), _part(url, 4), _part(url, 5)
+    )
+    return F.when(_web(url), whole).otherwise(url)
+
+
 def resolve_url(href: Column, base: Column) -> Column:
     """A link resolved against the page it stands on; an empty link is the page itself."""
-    base = _clean(base)
-    link = F.coalesce(blank_to_null(_clean(href)), base)
-    scheme = F.lower(_part(base, 1))
-    root = F.concat(scheme, F.lit("://"), _authority(base))
-    path = _part(base, 3)
-    query = _part(base, 4)
-    folder = F.concat(F.regexp_replace(path, "[^/]*$", ""), F.lit(""))
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    link_path = F.regexp_extract(link, "^([^?#]*)", 1)
-    link_rest = F.regexp_extract(link, "^[^?#]*(.*)$", 1)
-
-    absolute = F.when(
-        _web(link),
-        F.concat(
-            F.lower(_part(link, 1)), F.lit("://"), _authority(link), _settle_path(_part(link, 3)),
-            _part(link, 4), _part(link, 5),
-        ),
-    ).otherwise(link)
-    across = F.concat(scheme, F.lit(":"), link)
-    same_scheme = F.concat(
-        scheme, F.lit("://"), _authority(across), _settle_path(_part(across, 3)), _part(across, 4), _part(across, 5)
-    )
-    return (
-        F.when(link.rlike(_SCHEME), absolute)
-        .when(link.startswith("//"), same_scheme)
-        .when(link.startswith("/"), F.concat(root, _settle_path(link_path), link_rest))
-        .when(link.startswith("?"), F.concat(root, _settle_path(path), link_rest))
-        .when(link.startswith("#"), F.concat(root, _settle_path(path), query, link_rest))
-        .otherwise(F.concat(root, _settle_path(F.concat(folder, link_path)), link_rest))
-    )
+
+    def join(pair: Column) -> Column:
+        base, link = pair["base"], pair["link"]
+        root = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
+        path = F.when(_part(base, 3) == "", F.lit("/")).otherwise(_part(base, 3))
+        return (
+            F.when(F.coalesce(link, F.lit("")) == "", base)
+            .when(link.rlike(_SCHEME), link)
+            .when(link.startswith("//"), F.concat(_part(base, 1), F.lit(":"), link))
+            .when(link.startswith("/"), F.concat(root, link))
+            .when(link.startswith("?"), F.concat(root, path, link))
+            .when(link.startswith("#"), F.concat(root, path, _part(base, 4), link))
+            .otherwise(F.concat(root, F.regexp_replace(path, "[^/]*$", ""), link))
+        )
+
+    pair = F.struct(_clean(base).alias("base"), _clean(href).alias("link"))
+    return let(let(pair, join), _serialize)
 
 
 def _ipv4_number(host: Column) -> Column:
@@ -166,7 +163,10 @@ def _in_private_ipv4(value: Column) -> Column:
 
 def url_safety(c: Column) -> Column:
     """``ok`` or why a feed URL is refused, judged from the text alone (no name lookup)."""
-    url = _clean(c)
+    return let(_clean(c), _safety)
+
+
+def _safety(url: Column) -> Column:
     parsed = url.rlike(_SCHEME) & (_part(url, 1) != "")
     authority = _part(url, 2)
     host = F.lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), ":[0-9]*$", ""))
