@@ -23,11 +23,16 @@ EVIDENCE_SOURCES = ("job-description", "title", "location", "metadata")
 EVIDENCE = "array<struct<field:string,effect:int,text:string,source:string>>"
 SALARY = "struct<currency:string,min:double,max:double,interval:string>"
 POSTED = "struct<num:double,text:string>"
-CONFIG = (
-    "struct<listSelector:string,titleSelector:string,locationSelector:string,linkSelector:string,"
-    "departmentSelector:string,detailDescriptionSelector:string,waitForSelector:string,"
-    "headers:map<string,string>>"
+CONFIG_TEXTS = (
+    "listSelector",
+    "titleSelector",
+    "locationSelector",
+    "linkSelector",
+    "departmentSelector",
+    "detailDescriptionSelector",
+    "waitForSelector",
 )
+CONFIG = "struct<" + "".join(f"{name}:string," for name in CONFIG_TEXTS) + "headers:map<string,string>>"
 
 RAW_POSTING = (
     "source_id string, run_id string, ordinal int, external_id string, canonical_url string, "
