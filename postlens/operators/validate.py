@@ -198,9 +198,3 @@ def validate(df: DataFrame, contract: list[Rule]) -> tuple[DataFrame, DataFrame]
 
 def validate_sources(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return validate(df, source_contract())
-
-
-def check_batches(postings: DataFrame, limit: int = 10) -> DataFrame:
-    """Batches above the row limit of the contract."""
-    sizes = postings.groupBy("batch_id").agg(F.count(F.lit(1)).alias("job_count"))
-    return sizes.filter(F.col("job_count") > limit)
