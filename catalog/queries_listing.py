@@ -166,12 +166,12 @@ def fulltext_phrase(spark, sf):
         ctes("jobs"),
         "SELECT id FROM jobs WHERE status = 'open' AND "
         "(contains(' ' || lower(title) || ' ', ' machinery ') OR contains(' ' || regexp_replace(lower(search_text), '[^a-z0-9]+', ' ', 'g') || ' ', ' machinery ')"
-        " OR contains(' ' || lower(skills_text) || ' ', ' machinery ')) AND contains(' ' || lower(company_name) || ' ', ' china ')",
+        " OR contains(' ' || lower(skills_text) || ' ', ' machinery ')) AND contains(' ' || replace(lower(company_name), '_', ' ') || ' ', ' nation ')",
     ),
 )
 def fulltext_postings(spark, sf):
     jobs = st.jobs(spark, sf).withColumn("skills_text", F.array_join("skills", " "))
-    return filters.filter_jobs(jobs, JobFilter(q="Machinery CHINA")).select("id")
+    return filters.filter_jobs(jobs, JobFilter(q="Machinery NATION")).select("id")
 
 
 @query(

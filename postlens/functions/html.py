@@ -12,9 +12,9 @@ from .text import let, normalize_whitespace
 # Elements whose content is not text.
 DROPPED_ELEMENTS = ("script", "style", "noscript", "svg")
 
-_COMMENT = "(?s)<!--.*?(?:-->|$)"
+_COMMENT = "(?s)<!--.*?(?:-->|\\z)"
 _DECLARATION = "<[!?][^>]*>"
-_TAG = "</?[a-zA-Z](?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>"
+_TAG = "</?[a-zA-Z](?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+(?:>|\\z)"
 _FREQUENT = ("amp;", "nbsp;", "lt;", "gt;", "quot;", "apos;")
 _WINDOWS_1252 = [bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160)]
 _BARE = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)
@@ -68,7 +68,7 @@ def html_to_text(c: Column) -> Column:
     """Text of a document or fragment, without the content of script-like elements."""
     body = F.regexp_replace(c, _COMMENT, "")
     for name in DROPPED_ELEMENTS:
-        body = F.regexp_replace(body, f"(?is)<{name}(?=[\\s/>])[^>]*>.*?(?:</{name}\\s*>|$)", "")
+        body = F.regexp_replace(body, f"(?is)<{name}(?=[\\s/>])[^>]*>.*?(?:</{name}\\s*>|\\z)", "")
     body = F.regexp_replace(body, _DECLARATION, "")
     body = F.regexp_replace(body, _TAG, "")
     return normalize_whitespace(decode_entities(body))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -19,39 +20,35 @@ SKILL_LIMIT = 40
 EVIDENCE_LIMIT = 12
 EVIDENCE_TEXT_LIMIT = 500
 
-_BEFORE_WORD = "(?<![A-Za-z0-9_])"
-_AFTER_WORD = "(?![A-Za-z0-9_])"
+_WORD = "[A-Za-z0-9_]"
+_BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+_TOKEN = re.compile(r"\\.|.", re.DOTALL)
 
 
 def ascii_regex(pattern: str) -> str:
     """Give ``\\b`` and ``\\s`` of a pattern the same meaning in every engine.
 
-    ``\\b`` at the start of an alternative becomes a look-behind, elsewhere a
-    look-ahead, both on ASCII word characters.
+    ``\\b`` becomes a boundary of ASCII word characters; next to a literal word
+    character one look-around is enough. ``\\s`` includes the Unicode spaces.
     """
-    out: list[str] = []
-    i = 0
-    while i < len(pattern):
-        pair = pattern[i : i + 2]
-        if pair == r"\b":
-            opening = not out or out[-1] in ("|", "(?:", "(", "(?i)")
-            out.append(_BEFORE_WORD if opening else _AFTER_WORD)
-            i += 2
-        elif pair == r"\s":
+    tokens = _TOKEN.findall(pattern)
+
+    def wordy(at: int) -> bool:
+        inside = 0 <= at < len(tokens)
+        return inside and (tokens[at] == r"\d" or re.fullmatch(_WORD, tokens[at]) is not None)
+
+    out = []
+    for i, token in enumerate(tokens):
+        if token == r"\s":
             out.append(SPACE)
-            i += 2
-        elif pair.startswith("\\"):
-            out.append(pair)
-            i += 2
-        elif pattern.startswith("(?i)", i):
-            out.append("(?i)")
-            i += 4
-        elif pattern.startswith("(?:", i):
-            out.append("(?:")
-            i += 3
+        elif token != r"\b":
+            out.append(token)
+        elif wordy(i + 1):
+            out.append(f"(?<!{_WORD})")
+        elif wordy(i - 1):
+            out.append(f"(?!{_WORD})")
         else:
-            out.append(pattern[i])
-            i += 1
+            out.append(_BOUNDARY)
     return "".join(out)
 
 
@@ -64,6 +61,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bind(values: dict[str, Column], body: Callable[[dict[str, Column]], Column]) -> Column:
+    """``let`` for several named values at once."""
+    packed = F.struct(*[c.alias(name) for name, c in values.items()])
+    return let(packed, lambda s: body({name: s[name] for name in values}))
+
+
 def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(TRIM_CHARS))
 
@@ -78,12 +81,18 @@ def let_blank_to_null(c: Column) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
-    spaced = F.regexp_replace(c, "[\\t\\r \\u00a0]+", " ")
+    # Only runs that differ from one plain blank are matched, so tidy text is merely scanned.
+    spaced = F.regexp_replace(c, "[\\t\\r\\u00a0][\\t\\r \\u00a0]*| [\\t\\r \\u00a0]+", " ")
     return trim(F.regexp_replace(spaced, "\\n{3,}", "\n\n"))
 
 
+def fold(c: Column) -> Column:
+    """Lower case with every hyphen alike, for text whose whitespace is normalized."""
+    return F.translate(F.lower(c), HYPHENS, "-" * len(HYPHENS))
+
+
 def normalize_for_match(c: Column) -> Column:
-    return F.translate(F.lower(normalize_whitespace(c)), HYPHENS, "-" * len(HYPHENS))
+    return fold(normalize_whitespace(c))
 
 
 def unique_ci(values: Column) -> Column:
@@ -94,20 +103,26 @@ def unique_ci(values: Column) -> Column:
 
 
 def truncate(c: Column, limit: int) -> Column:
-    cut = F.rtrim(F.substring(c, 1, max(0, limit - 1)), F.lit(TRIM_CHARS))
-    return F.when(F.char_length(c) <= limit, c).otherwise(F.concat(cut, F.lit("…")))
+    def cut(text: Column) -> Column:
+        head = F.rtrim(F.substring(text, 1, max(0, limit - 1)), F.lit(TRIM_CHARS))
+        return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(head, F.lit("…")))
+
+    return let(c, cut)
 
 
 def find_snippet(original: Column, needle: Column | str, radius: int = 120, lowered: Column | None = None) -> Column:
     """Text around the first case-insensitive hit, or the head of the text without one."""
     needle = F.lit(needle) if isinstance(needle, str) else needle
     lowered = F.lower(original) if lowered is None else lowered
-    hit = F.position(F.lower(needle), lowered)
-    start = F.greatest(F.lit(1), hit - radius)
-    length = hit + F.char_length(needle) + radius - start
-    around = truncate(normalize_whitespace(F.substring(original, start, length)), EVIDENCE_TEXT_LIMIT)
-    head = truncate(normalize_whitespace(original), radius * 2)
-    return F.when(hit > 0, around).otherwise(head)
+
+    def around(hit: Column) -> Column:
+        start = F.greatest(F.lit(1), hit - radius)
+        piece = F.substring(original, start, hit + F.char_length(needle) + radius - start)
+        return F.when(hit > 0, truncate(normalize_whitespace(piece), EVIDENCE_TEXT_LIMIT)).otherwise(
+            truncate(normalize_whitespace(original), radius * 2)
+        )
+
+    return let(F.position(F.lower(needle), lowered), around)
 
 
 def make_search_text(parts: Sequence[Column]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Size-checked broadcasts are left to Catalyst's threshold; joins beyond it
 # are sort-merge and their oversized partitions are split by AQE.
@@ -34,3 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="postlens-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a small scan every core; a scan with enough splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
