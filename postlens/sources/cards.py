@@ -117,6 +117,8 @@ def compile_selector(selector: str):
     alternatives = []
     for part in re.split(r",(?![^\[]*\])", selector):
         tokens = re.findall(r">|(?:\[[^\]]*\]|[^\s>\[])+", part.strip())
+        if re.sub(r"\s", "", "".join(tokens)) != re.sub(r"\s", "", part):
+            raise ValueError(f"unsupported selector: {selector}")
         steps, joint = [], " "
         for token in tokens:
             if token == ">":
