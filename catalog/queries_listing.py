@@ -118,6 +118,20 @@ def posting_page(spark, sf):
     return paging.page_frame(_listed(spark, sf), chosen, cursor=_CURSOR).select(*_KEYS)
 
 
+_PAGE_OUT = ("id", "title", "score", "first_seen_at", "action", "version_count")
+
+
+def _list_page(name: str, chosen: JobFilter, where: str) -> None:
+    @query(name, with_ctes(_LISTED, f"SELECT {', '.join(_PAGE_OUT)} FROM listed WHERE {where}{_ORDER} LIMIT 31"))
+    def run(spark, sf):
+        versions = history.build_versions(st.observations(spark, sf))
+        return views.list_page(st.jobs(spark, sf), st.actions(spark, sf), versions, chosen, 30).select(*_PAGE_OUT)
+
+
+_list_page("posting_list_page", JobFilter(min_score=20), "status = 'open' AND score >= 20")
+_list_page("posting_list_page_saved", JobFilter(action="saved", changed=True), "status = 'open' AND action = 'saved' AND version_count > 1")
+
+
 @query(
     "posting_page_orders",
     """SELECT o_orderkey AS id, o_totalprice AS score, o_orderdate AS first_seen_at, count(l_orderkey) AS version_count

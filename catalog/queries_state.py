@@ -527,7 +527,7 @@ def edited_companies(spark, sf):
 )
 def cascaded_postings(spark, sf):
     gone = st.sources(spark, sf).filter(F.col("status") == "quarantined")
-    return state.cascade(gone, st.jobs(spark, sf), "source_id").select("id", "source_id")
+    return state.cascade(gone, st.jobs(spark, sf), "source_id", spread_by=["id"]).select("id", "source_id")
 
 
 _LATER = 915_148_800

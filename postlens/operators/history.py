@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import quote_json
+from .joins import join_salted
 
 _LIMB = 6
 
@@ -75,16 +76,17 @@ def presence_history(seen: DataFrame, runs: DataFrame, absences: int = 2) -> Dat
     then absent, and when the ``absences``-th absence closed it (NULL while still open).
     No key x run spine is built: runs are numbered per source and gaps are differences.
     """
-    numbered = runs.select("source_id", "run_at").distinct()
     by_source = Window.partitionBy("source_id").orderBy("run_at")
-    numbered = numbered.withColumn("run_no", F.row_number().over(by_source))
+    numbered = runs.select("source_id", "run_at").distinct().withColumn("run_no", F.row_number().over(by_source))
     closes_at = numbered.select("source_id", F.col("run_no").alias("_close_no"), F.col("run_at").alias("closed_at"))
-    last_run = numbered.groupBy("source_id").agg(F.max("run_no").alias("_last_no"))
+    numbered = numbered.withColumn("_last_no", F.max("run_no").over(Window.partitionBy("source_id")))
 
-    sightings = seen.select("source_id", "external_id", "run_at").distinct().join(numbered, ["source_id", "run_at"])
+    sightings = join_salted(
+        seen.select("source_id", "external_id", "run_at").distinct(), numbered, ["source_id", "run_at"], ["external_id"]
+    )
     key = ["source_id", "external_id"]
     timeline = Window.partitionBy(*key).orderBy("run_no")
-    gaps = sightings.join(last_run, "source_id").withColumn("_next", F.lead("run_no").over(timeline))
+    gaps = sightings.withColumn("_next", F.lead("run_no").over(timeline))
     gaps = gaps.withColumn("_absent", F.coalesce(F.col("_next") - 1, F.col("_last_no")) - F.col("run_no"))
     ends = gaps.withColumn("_ends", (F.col("_absent") >= absences) | F.col("_next").isNull())
     island = F.coalesce(F.sum(F.col("_ends").cast("int")).over(timeline.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -96,8 +98,9 @@ def presence_history(seen: DataFrame, runs: DataFrame, absences: int = 2) -> Dat
         F.max(F.when(F.col("_ends"), F.col("_absent"))).alias("runs_absent"),
     )
     closing = F.when(F.col("runs_absent") >= absences, F.col("_last_seen_no") + absences)
+    closed = join_salted(
+        grouped.withColumn("_close_no", closing), closes_at, ["source_id", "_close_no"], ["external_id"], "left"
+    )
     return (
-        grouped.withColumn("_close_no", closing)
-        .join(closes_at, ["source_id", "_close_no"], "left")
-        .select(*key, "island", "first_seen", "last_seen", "runs_seen", "runs_absent", "closed_at")
+        closed.select(*key, "island", "first_seen", "last_seen", "runs_seen", "runs_absent", "closed_at")
     )

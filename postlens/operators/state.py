@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.keys import dedupe_key, job_id, snapshot_json
 from ..schemas import JOB_ACTIONS, JOBS, struct
 from .history import build_versions
+from .joins import join_salted
 
 CLOSE_AFTER = 2
 
@@ -117,7 +118,7 @@ def presence_baseline(dispositions: DataFrame) -> DataFrame:
 
 def missing_postings(jobs: DataFrame, dispositions: DataFrame) -> DataFrame:
     """Open postings absent from their source's reference run."""
-    aged = jobs.join(presence_baseline(dispositions), "source_id")
+    aged = join_salted(jobs, presence_baseline(dispositions), ["source_id"], ["id"])
     return aged.filter(_absent()).select(*jobs.columns)
 
 
@@ -131,7 +132,7 @@ def _absent() -> Column:
 
 def age_missing(jobs: DataFrame, dispositions: DataFrame, now: Column) -> DataFrame:
     """Count one more absence for postings not in the reference run; the second one closes them."""
-    rows = jobs.join(presence_baseline(dispositions), "source_id", "left").withColumn("_aged", _absent())
+    rows = join_salted(jobs, presence_baseline(dispositions), ["source_id"], ["id"], "left").withColumn("_aged", _absent())
     closes = F.col("_aged") & (F.col("missing_count") + 1 >= CLOSE_AFTER)
     changed = {
         "missing_count": F.when(F.col("_aged"), F.col("missing_count") + 1).otherwise(F.col("missing_count")),
@@ -142,9 +143,16 @@ def age_missing(jobs: DataFrame, dispositions: DataFrame, now: Column) -> DataFr
     return rows.select(*[changed.get(c, F.col(c)).alias(c) for c in jobs.columns])
 
 
-def cascade(parents_deleted: DataFrame, child: DataFrame, foreign_key: str, parent_key: str = "id") -> DataFrame:
-    """Child rows that remain after their parents were deleted."""
+def cascade(
+    parents_deleted: DataFrame, child: DataFrame, foreign_key: str, parent_key: str = "id", spread_by: Sequence[str] = ()
+) -> DataFrame:
+    """Child rows that remain after their parents were deleted.
+
+    ``spread_by`` names columns that tell the children of one huge parent apart.
+    """
     gone = parents_deleted.select(F.col(parent_key).alias(foreign_key))
+    if spread_by:
+        return join_salted(child, gone, [foreign_key], spread_by, "left_anti").select(*child.columns)
     return child.join(gone, foreign_key, "left_anti").select(*child.columns)
 
 

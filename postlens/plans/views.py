@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.filters import JobFilter
 from ..operators.history import latest_per
+from ..operators.joins import join_salted
+from ..operators.paging import ordered, page_frame
 
 LIST_COLUMNS = (
     "id", "source_id", "company_id", "external_id", "canonical_url", "title", "company_name", "department",
@@ -45,6 +48,23 @@ def list_view(listed: DataFrame) -> DataFrame:
     return listed.select(*LIST_COLUMNS, *ACTION_COLUMNS)
 
 
+def list_page(
+    jobs: DataFrame, actions: DataFrame, versions: DataFrame, f: JobFilter = JobFilter(), limit=None, cursor=None
+) -> DataFrame:
+    """One page of the list with its look-ahead row.
+
+    The top-k runs on postings alone whenever the filter allows it; actions and version
+    counts are then looked up for the page only, instead of for the whole table.
+    """
+    rows = jobs.withColumn("skills_text", F.array_join("skills", " "))
+    if f.action or f.changed:
+        rows = listing(jobs, actions, versions)
+    best = page_frame(rows, f, limit, cursor).select(*jobs.columns)
+    wanted = best.select(F.col("id").alias("job_id"))
+    own, stored = actions.join(wanted, "job_id", "left_semi"), versions.join(wanted, "job_id", "left_semi")
+    return ordered(list_view(listing(best, own, stored)))
+
+
 def job_detail(jobs: DataFrame, actions: DataFrame, versions: DataFrame, companies: DataFrame, sources: DataFrame, job_id: str | None = None) -> DataFrame:
     """Full posting rows with action, company links and source state."""
     if job_id is not None:
@@ -57,7 +77,7 @@ def job_detail(jobs: DataFrame, actions: DataFrame, versions: DataFrame, compani
         F.col("status").alias("source_status"),
     )
     rows = listing(jobs, actions, versions).drop("action_updated_at")
-    return rows.join(company, "company_id").join(source, "source_id")
+    return join_salted(join_salted(rows, company, ["company_id"], ["id"]), source, ["source_id"], ["id"])
 
 
 def job_versions(versions: DataFrame, job_id: str) -> DataFrame:
