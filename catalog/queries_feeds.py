@@ -15,7 +15,7 @@ from .standins import ctes
 
 
 def _orders(spark, sf):
-    return table(spark, sf, "orders")
+    return spread(table(spark, sf, "orders"))
 
 
 def _landed(rows):
@@ -167,7 +167,7 @@ def jsonld_postings(spark, sf):
         F.lit('","unitText":"YEAR"}},"similar":{"@type":"JobPosting","title":["A","B"],"url":"/p/'), key,
         F.lit('","jobLocation":"Berlin"}}]}</script></html>'),
     )
-    rows = registry.parse_jsonld(_landed(spread(_orders(spark, sf))).withColumn("body", body))
+    rows = registry.parse_jsonld(_landed(_orders(spark, sf)).withColumn("body", body))
     pay = F.col("salary")
     return _raw(rows, pay["currency"].alias("currency"), pay["min"].alias("low"), pay["max"].alias("high"), pay["interval"].alias("unit"))
 

@@ -28,8 +28,9 @@ _TOKEN = re.compile(r"\\.|.", re.DOTALL)
 def ascii_regex(pattern: str) -> str:
     """Give ``\\b`` and ``\\s`` of a pattern the same meaning in every engine.
 
-    ``\\b`` becomes a boundary of ASCII word characters; next to a literal word
-    character one look-around is enough. ``\\s`` includes the Unicode spaces.
+    ``\\b`` becomes a boundary of ASCII word characters; beside a literal word character
+    or before a group, which must then start with one, a single look-around is enough.
+    ``\\s`` includes the Unicode spaces.
     """
     tokens = _TOKEN.findall(pattern)
 
@@ -43,7 +44,7 @@ def ascii_regex(pattern: str) -> str:
             out.append(SPACE)
         elif token != r"\b":
             out.append(token)
-        elif wordy(i + 1):
+        elif wordy(i + 1) or tokens[i + 1 : i + 2] == ["("]:
             out.append(f"(?<!{_WORD})")
         elif wordy(i - 1):
             out.append(f"(?!{_WORD})")
@@ -81,14 +82,24 @@ def let_blank_to_null(c: Column) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
-    # Only runs that differ from one plain blank are matched, so tidy text is merely scanned.
-    spaced = F.regexp_replace(c, "[\\t\\r\\u00a0][\\t\\r \\u00a0]*| [\\t\\r \\u00a0]+", " ")
-    return trim(F.regexp_replace(spaced, "\\n{3,}", "\n\n"))
+    """Single blanks, at most one empty line, nothing at the ends. Tidy text is only scanned."""
+
+    def blanks(t: Column) -> Column:
+        untidy = t.contains("  ") | t.contains("\t") | t.contains("\r") | t.contains("\u00a0")
+        return F.when(untidy, F.regexp_replace(t, "[\\t\\r \\u00a0]+", " ")).otherwise(t)
+
+    def lines(t: Column) -> Column:
+        return trim(F.when(t.contains("\n\n\n"), F.regexp_replace(t, "\\n{3,}", "\n\n")).otherwise(t))
+
+    return let(let(c, blanks), lines)
 
 
 def fold(c: Column) -> Column:
     """Lower case with every hyphen alike, for text whose whitespace is normalized."""
-    return F.translate(F.lower(c), HYPHENS, "-" * len(HYPHENS))
+    folded = F.lower(c)
+    for hyphen in HYPHENS:
+        folded = F.replace(folded, F.lit(hyphen), F.lit("-"))
+    return folded
 
 
 def normalize_for_match(c: Column) -> Column:

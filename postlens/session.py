@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites of every Column operation are for debugging; collecting them triples plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
