@@ -567,7 +567,6 @@ _NORMAL = {
     "record": f"""SELECT *, {sq.cut('clean_text', 48_000)} AS descr,
   {sq.cut(sq.clean("concat_ws(chr(10), title, company_name, nullif(lang, ''), location_text, nullif(array_to_string(skills, ' '), ''), nullif(clean_text, ''))"), 12_000)} AS search_text FROM paid""",
 }
-_NORMAL["record"] = _NORMAL["record"]
 
 
 def _raw_postings(spark, sf):

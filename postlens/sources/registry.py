@@ -61,12 +61,14 @@ def empty_signal() -> Column:
 def explode_items(df: DataFrame, kinds: tuple[str, ...] = SOURCE_KINDS) -> DataFrame:
     """Raw postings of rows that carry ``items``.
 
-    Built in stages so that no costly expression is written out twice.
+    Built in stages so that no costly expression is written out twice. Rows with a parse
+    error carry no items. The outer explode keeps Spark from deriving a filter on the items,
+    which would parse every body a second time.
     """
     kind = F.col("kind")
-    rows = df.filter(F.col("parse_error").isNull()).select(
-        "source_id", "run_id", "kind", "source_url", "company_name", F.posexplode("items").alias("ordinal", "_item")
-    )
+    rows = df.select(
+        "source_id", "run_id", "kind", "source_url", "company_name", F.posexplode_outer("items").alias("ordinal", "_item")
+    ).filter(F.col("ordinal").isNotNull())
     texts = ("external_id", "url", "title", "department", "location_text", "employment_type", "html", "posted_text")
     rows = rows.withColumn("salary", F.lit(None).cast(SALARY)).withColumns({n: F.col("_item")[n] for n in texts})
     if "jsonld" in kinds:
