@@ -143,7 +143,7 @@ def relative_time(at: Column, now: Column) -> Column:
             F.lit(None).cast("string").alias("date"),
         )
 
-    day = F.date_format(F.timestamp_seconds(at), "yyyy-MM-dd")
+    day = F.date_from_unix_date(F.floor(at / 86_400).cast("int")).cast("string")
     far = F.struct(F.lit("date").alias("unit"), F.lit(None).cast("bigint").alias("value"), day.alias("date"))
     none = F.struct(
         F.lit("unknown").alias("unit"), F.lit(None).cast("bigint").alias("value"), F.lit(None).cast("string").alias("date")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from postlens import schemas as S
 from postlens.operators import history, state
-from postlens.plans import views
+from postlens.plans import reports, views
 from postlens.plans.collect import collect_run
-from postlens.sources.tables import Tables
+from postlens.sources.registry import parse_board_c
+from postlens.sources.tables import Tables, replace_partitions
 from postlens.streaming import ingest
 
 
@@ -80,6 +81,29 @@ def test_unchanged_feed_is_not_ingested_and_ages_the_absent(make):
     assert tuple(cached.dispositions.first().disposition) == ("complete", None)
 
 
+def test_details_and_custom_parsers_in_a_run(make, spark):
+    config = '{"listSelector":"li","titleSelector":"a","detailDescriptionSelector":".d"}'
+    sources = [source("cards", "static-html", config_json=config), source("board", "greenhouse"), source("own", "jsonld")]
+    page = "<ul>" + "".join(f"<li data-id={i}><a href=/j/{i}>Job {i}</a></li>" for i in range(2)) + "</ul>" + " " * 100 + "<p>end of the list</p>"
+    short = json.dumps({"jobs": [{"id": 1, "title": "B", "content": "short", "absolute_url": "https://x/1"}], "pad": "x" * 120})
+    responses = make(S.RESPONSE, response("cards", page, content_type="text/html"), response("board", short), response("own", "y" * 200, content_type="text/plain"))
+    details = spark.createDataFrame(
+        [("cards", "r1", "https://base.com/j/0", "<div class=d>Full text</div>", ".d", None)],
+        "source_id string, run_id string, url string, body string, selector string, error string",
+    )
+
+    def parser(rows):
+        return parse_board_c(rows.withColumn("body", F.lit('{"jobs":[{"id":"z","title":"Own","jobUrl":"https://own/z"}]}')))
+
+    result = collect_run(responses, state_tables(make, sources=sources), F.lit(1000), custom={"jsonld": parser}, detail_pages=details)
+    seen = {r.source_id: (r.status, r.fetched_job_count, r.signals) for r in result.observations.collect()}
+    assert seen == {
+        "cards": ("healthy", 2, ["detail-fetch-failed:https://base.com/j/1:not landed"]), "board": ("healthy", 1, []), "own": ("healthy", 1, []),
+    }
+    texts = {(j.source_id, j.external_id): j.description_text for j in result.tables["jobs"].collect()}
+    assert texts == {("cards", "0"): "Full text", ("cards", "1"): "", ("board", "1"): "short", ("own", "z"): ""}
+
+
 def test_streamed_run_is_replay_safe(make, spark, tmp_path):
     sources = [source("s", "greenhouse")]
     tables = Tables(spark, str(tmp_path / "tables"))
@@ -94,6 +118,36 @@ def test_streamed_run_is_replay_safe(make, spark, tmp_path):
     assert tables.read("crawl_runs").first().completed_source_count == 1
 
 
+def test_export_and_run_outputs(make, spark, tmp_path):
+    company = make(S.COMPANIES, dict(id="c1", slug="b", name="B", priority=1), dict(id="c2", slug="a", name="A", priority=9))
+    jobs = make(S.JOBS, dict(id="j1", title="T", company_name="A", canonical_url="https://j"), dict(id="j2", title="U"))
+    actions = make(S.JOB_ACTIONS, dict(job_id="j1", action="saved", updated_at=1), dict(job_id="j2", action="applied", updated_at=2))
+    parts = reports.export_user_data(company, make(S.SOURCES, source("s", "lever")), actions, jobs)
+    assert [r.name for r in parts["companies"].collect()] == ["A", "B"]
+    assert [r.title for r in parts["job_actions"].collect()] == ["U", "T"]
+    reports.write_export(parts, str(tmp_path / "export"))
+    assert spark.read.json(str(tmp_path / "export" / "job_actions")).count() == 2
+    observed = make(
+        S.SOURCE_OBS, dict(run_id="r", source_id="a", status="healthy", fetched_job_count=3), dict(run_id="r", source_id="b", status="failed", error_code="x"),
+        dict(run_id="q", source_id="a", status="failed"), dict(run_id="p", source_id="a", status="not_modified"),
+    )
+    assert {r.run_id: (r.completed, r.failed, r.status) for r in reports.run_summary(observed).collect()} == {
+        "r": (1, 1, "partial"), "q": (0, 1, "failed"), "p": (1, 0, "completed"),
+    }
+    path = str(tmp_path / "facts")
+    outcomes = reports.source_outcomes(observed)
+    replace_partitions(outcomes, path, ["run_id"])
+    replace_partitions(outcomes.filter("run_id = 'r' AND source_id = 'a'"), path, ["run_id"])
+    assert {(r.run_id, r.source_id) for r in spark.read.parquet(path).collect()} == {("r", "a"), ("q", "a"), ("p", "a")}
+
+
+def test_late_runs_are_set_aside(make):
+    batch = make("source_id string, run_no int", dict(source_id="a", run_no=2), dict(source_id="a", run_no=3), dict(source_id="b", run_no=1))
+    applied = make("source_id string, last_run_no int", dict(source_id="a", last_run_no=2))
+    on_time, late = ingest.split_late(batch, applied)
+    assert sorted(map(tuple, on_time.collect())) == [("a", 3), ("b", 1)] and [tuple(r) for r in late.collect()] == [("a", 2)]
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
