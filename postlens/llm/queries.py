@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.llm import simhash, tokenfiles, toxicity, urlrules
+from postlens.llm import decontaminate, lm, packing, simhash, tokenfiles, toxicity, urlrules
 from postlens.llm.sql import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,12 +37,27 @@ def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf, "labels")))
 
 
+@query
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op9_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.language_model(table(spark, sf, "documents"))
+
+
 @query
 def op10_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")

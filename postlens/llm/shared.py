@@ -76,6 +76,12 @@ def running_start(df: DataFrame, parts: list[str], block: str, order: list[str],
     return inner.join(bases, [*parts, block]).withColumn(out, F.col("_base") + F.col("_inner")).drop("_base", "_inner")
 
 
+def bound(df: DataFrame, **columns) -> DataFrame:
+    """Add columns whose values are computed once a row. The optimizer would else copy an expression to where it
+    is used, and one used inside a lambda would run for each element."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def lower_ascii(c):
     """A-Z to a-z, every other character as it is."""
     return F.translate(c, UPPER, UPPER.lower())

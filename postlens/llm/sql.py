@@ -19,3 +19,23 @@ SELECT page_id, host, path,
    (SELECT action FROM p WHERE regexp_matches(host || path, pattern) LIMIT 1), 'allow') AS verdict
 FROM u
 """
+
+ORACLE["op7_decontamination"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 10) AS need, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS span
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+needs AS (SELECT DISTINCT need FROM bw),
+dw AS (SELECT rid, i, need, array_to_string(list_slice(w, i, i + need - 1), ' ') AS span
+  FROM (SELECT rid, w, need, unnest(range(1, len(w) - need + 2)) AS i FROM d, needs WHERE len(w) >= need)),
+h AS (SELECT rid, i, need, item FROM dw JOIN bw USING (need, span)),
+c AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + need)) AS p FROM (SELECT DISTINCT rid, i, need FROM h)) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+"""
