@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.llm import decontaminate, lm, packing, simhash, tokenfiles, toxicity, urlrules
+from postlens.llm import decontaminate, lm, packing, pii, simhash, tokenfiles, toxicity, urlrules
 from postlens.llm.sql import ORACLE  # noqa: F401
 
+#: Stands in for the secret that a deployment passes.
+PII_KEY = "postlens surrogates"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -53,6 +55,11 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query
+def op8_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf, "documents").select("doc_id", "text"), PII_KEY)
+
+
 @query
 def op9_language_model(spark: SparkSession, sf: str) -> DataFrame:
     return lm.language_model(table(spark, sf, "documents"))
