@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.llm import decontaminate, lm, packing, pii, repeats, simhash, tokenfiles, toxicity, urlrules
+from postlens.llm import decontaminate, embeddings, lm, packing, pii, repeats, simhash, tokenfiles, toxicity, urlrules
 from postlens.llm.sql import ORACLE  # noqa: F401
 
 #: Stands in for the secret that a deployment passes.
@@ -44,6 +44,11 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query
+def op4_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf, "embeddings"))
+
+
 @query
 def op5_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.cut_repeats(table(spark, sf, "documents"))
