@@ -212,7 +212,7 @@ def posting_detail(spark, sf):
     ),
 )
 def newest_versions_of_one(spark, sf):
-    return views.job_versions(history.build_versions(st.observations(spark, sf)), "job_77")
+    return views.job_versions(history.build_versions(st.observations(spark, sf)), "job_77", newest=20)
 
 
 @query(

@@ -696,7 +696,7 @@ def _detail_inputs(spark, sf):
 @query(
     "detail_descriptions",
     _DETAIL_SQL + """ SELECT CAST(user_id AS VARCHAR) AS source_id, CAST(event_id AS INTEGER) AS ordinal,
-  CASE WHEN n <= 60 AND event_type NOT IN ('error', 'view') THEN 'Detail ' || event_id || ' & more' ELSE 'short' END AS description_text FROM p""",
+  CASE WHEN event_type NOT IN ('error', 'view') THEN 'Detail ' || event_id || ' & more' ELSE 'short' END AS description_text FROM p""",
 )
 def detail_descriptions(spark, sf):
     return enrich_details(*_detail_inputs(spark, sf))[0].select("source_id", "ordinal", "description_text")
@@ -705,8 +705,7 @@ def detail_descriptions(spark, sf):
 @query(
     "detail_signals",
     _DETAIL_SQL + """ SELECT CAST(user_id AS VARCHAR) AS source_id, CASE event_type WHEN 'view' THEN 'detail-selector-not-found:https://d.example.com/' || event_id
-  ELSE 'detail-fetch-failed:https://d.example.com/' || event_id || ':not landed' END AS signal FROM p WHERE n <= 60 AND event_type IN ('error', 'view')
-UNION ALL SELECT DISTINCT CAST(user_id AS VARCHAR), 'detail-fetch-capped:' || (total - 60) FROM p WHERE total > 60""",
+  ELSE 'detail-fetch-failed:https://d.example.com/' || event_id || ':not landed' END AS signal FROM p WHERE event_type IN ('error', 'view')""",
 )
 def detail_signals(spark, sf):
     return enrich_details(*_detail_inputs(spark, sf))[1].select("source_id", "signal")

@@ -68,19 +68,19 @@ def text_snippets(spark, sf):
     return _documents(spark, sf).select("doc_id", text.find_snippet(t, "tion").alias("tion"), text.find_snippet(t, "zzz").alias("missing"))
 
 
-_SEARCH = sq.cut(sq.clean("concat_ws(chr(10), nullif(source, ''), nullif(lang, ''), text)"), 12_000)
+_SEARCH = sq.clean("concat_ws(chr(10), nullif(source, ''), nullif(lang, ''), text)")
 
 
 @query(
     "search_text_limits",
-    f"SELECT doc_id, sha256({_SEARCH}) AS search_text, sha256({sq.cut(sq.clean('text'), 48_000)}) AS description FROM documents",
+    f"SELECT doc_id, sha256({_SEARCH}) AS search_text, sha256({sq.clean('text')}) AS description FROM documents",
 )
 def search_text_limits(spark, sf):
     c = F.col
     return _documents(spark, sf).select(
         "doc_id",
-        F.sha2(text.limit_search_text(text.make_search_text([c("source"), c("lang"), F.lit(""), c("text")])), 256).alias("search_text"),
-        F.sha2(text.limit_description(c("text")), 256).alias("description"),
+        F.sha2(text.make_search_text([c("source"), c("lang"), F.lit(""), c("text")]), 256).alias("search_text"),
+        F.sha2(text.limit_text(c("text")), 256).alias("description"),
     )
 
 
@@ -90,7 +90,7 @@ for _accented, _base in _ACCENTS.items():
     _SLUG = f"replace({_SLUG}, '{_accented}', '{_base}-')"
 
 
-@query("text_slugs", f"SELECT doc_id, substr(trim(regexp_replace({_SLUG}, '[^a-z0-9]+', '-', 'g'), '-'), 1, 200) AS slug FROM documents")
+@query("text_slugs", f"SELECT doc_id, trim(regexp_replace({_SLUG}, '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def text_slugs(spark, sf):
     return _documents(spark, sf).select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
@@ -203,7 +203,7 @@ def page_url_safety(spark, sf):
 
 @query(
     "posting_keys",
-    """SELECT p_partkey, substr(CASE WHEN p_size > 25 THEN CAST(p_partkey AS VARCHAR) ELSE sha256('https://p.example.com/' || p_partkey) END, 1, 300) AS external_id,
+    """SELECT p_partkey, CASE WHEN p_size > 25 THEN CAST(p_partkey AS VARCHAR) ELSE sha256('https://p.example.com/' || p_partkey) END AS external_id,
   'job_' || substr(sha256(p_brand || chr(10) || p_partkey), 1, 32) AS job_id,
   sha256(lower(p_brand) || chr(10) || lower(p_name) || chr(10) || CASE WHEN p_size > 10 THEN p_type ELSE '' END) AS dedupe_key, sha256(p_name) AS response_hash FROM part""",
 )
@@ -319,6 +319,7 @@ _SQL_LABEL = (
     f"SELECT doc_id, coalesce({st.pick_sql('source', _TITLES)}, 'Engineer') AS title, {st.pick_sql('lang', _PLACES)} AS location_text, "
     f"text || chr(10) || chr(10) || coalesce({st.pick_sql('source', _WORDING)}, '') AS description_text, source, lang FROM documents"
 )
+# The wording, points and sentences of the labels, as the rules state them.
 _PATTERNS = {
     "hybrid": (r"\bhybrid\b", r"\b\d+ days? (?:a|per) week (?:in|at) (?:the )?office\b", r"\boffice attendance\b"),
     "onsite": (r"\bonsite\b", r"\bon-site\b", r"\bin[- ]office\b", r"\bwork from (?:our|the) office\b"),
@@ -393,7 +394,7 @@ _EVIDENCE = [
     ("calls", "syncRisk", "-8", "'빈번한 고객 화상회의 신호가 있습니다.'", "'job-description'"),
 ]
 _PACKED = ", ".join(
-    f"CASE WHEN {when} THEN struct_pack(field := '{name}', effect := CAST({effect} AS INTEGER), text := substr({sq.clean(body)}, 1, 500), source := {source}) END"
+    f"CASE WHEN {when} THEN struct_pack(field := '{name}', effect := CAST({effect} AS INTEGER), text := {sq.clean(body)}, source := {source}) END"
     for when, name, effect, body, source in _EVIDENCE
 )
 _EXCEPTIONS = "(0, 7), (0, 11), (2, 3), (2, 9), (4, 1), (4, 3), (4, 5), (4, 9)"
@@ -564,8 +565,8 @@ _NORMAL = {
   coalesce(CAST(CASE WHEN lang <> 'de' THEN doc_id END AS VARCHAR), sha256('https://jobs.example.com/p/' || doc_id || '?a=1&b=2')) AS external_id,
   'Company ' || source AS company_name, CAST(1786579200 + doc_id AS BIGINT) AS posted_at FROM labelled""",
     "paid": f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in _salary_sql('clean_text').items())} FROM sized",
-    "record": f"""SELECT *, {sq.cut('clean_text', 48_000)} AS descr,
-  {sq.cut(sq.clean("concat_ws(chr(10), title, company_name, nullif(lang, ''), location_text, nullif(array_to_string(skills, ' '), ''), nullif(clean_text, ''))"), 12_000)} AS search_text FROM paid""",
+    "record": f"""SELECT *, clean_text AS descr,
+  {sq.clean("concat_ws(chr(10), title, company_name, nullif(lang, ''), location_text, nullif(array_to_string(skills, ' '), ''), nullif(clean_text, ''))")} AS search_text FROM paid""",
 }
 
 

@@ -25,7 +25,7 @@ def snippet(original: str, lowered: str, needle: str) -> str:
     hit = f"strpos({lowered}, lower({needle}))"
     start = f"greatest(1, {hit} - 120)"
     piece = clean(f"substr({original}, {start}, {hit} + length({needle}) + 120 - {start})")
-    return f"CASE WHEN {hit} > 0 THEN {cut(piece, 500)} ELSE {cut(clean(original), 240)} END"
+    return f"CASE WHEN {hit} > 0 THEN {piece} ELSE {cut(clean(original), 240)} END"
 
 
 def any_of(c: str, patterns) -> str:

@@ -8,17 +8,12 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-# The characters a browser-side trim removes, and size limits of the record.
+# The characters a browser-side trim removes.
 _SPACES = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B)]
 _SPACES += [0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 TRIM_CHARS = "".join(chr(code) for code in _SPACES)
 SPACE = "[" + "".join(f"\\u{code:04x}" for code in _SPACES) + "]"
 HYPHENS = "\u2010\u2011\u2012\u2013\u2014"
-DESCRIPTION_LIMIT = 48_000
-SEARCH_LIMIT = 12_000
-SKILL_LIMIT = 40
-EVIDENCE_LIMIT = 12
-EVIDENCE_TEXT_LIMIT = 500
 
 _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
@@ -53,10 +48,6 @@ def ascii_regex(pattern: str) -> str:
     return "".join(out)
 
 
-def any_of(patterns: Sequence[str]) -> str:
-    return "(?:" + "|".join(patterns) + ")"
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a computed value once inside an expression that uses it many times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -113,7 +104,11 @@ def unique_ci(values: Column) -> Column:
     return F.filter(clean, lambda v, i: F.array_position(folded, F.lower(v)) == i + 1)
 
 
-def truncate(c: Column, limit: int) -> Column:
+def truncate(c: Column, limit: int | None) -> Column:
+    """At most ``limit`` characters with a mark where something was cut off; no limit leaves the text as it is."""
+    if limit is None:
+        return c
+
     def cut(text: Column) -> Column:
         head = F.rtrim(F.substring(text, 1, max(0, limit - 1)), F.lit(TRIM_CHARS))
         return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(head, F.lit("…")))
@@ -129,35 +124,29 @@ def find_snippet(original: Column, needle: Column | str, radius: int = 120, lowe
     def around(hit: Column) -> Column:
         start = F.greatest(F.lit(1), hit - radius)
         piece = F.substring(original, start, hit + F.char_length(needle) + radius - start)
-        return F.when(hit > 0, truncate(normalize_whitespace(piece), EVIDENCE_TEXT_LIMIT)).otherwise(
+        return F.when(hit > 0, normalize_whitespace(piece)).otherwise(
             truncate(normalize_whitespace(original), radius * 2)
         )
 
     return let(F.position(F.lower(needle), lowered), around)
 
 
-def make_search_text(parts: Sequence[Column]) -> Column:
+def make_search_text(parts: Sequence[Column], limit: int | None = None) -> Column:
     joined = F.concat_ws("\n", *[blank_to_null(p) for p in parts])
-    return truncate(normalize_whitespace(joined), SEARCH_LIMIT)
-
-
-def limit_evidence(evidence: Column) -> Column:
-    return F.transform(
-        F.slice(evidence, 1, EVIDENCE_LIMIT),
-        lambda e: e.withField("text", truncate(normalize_whitespace(e["text"]), EVIDENCE_TEXT_LIMIT)),
-    )
+    return truncate(normalize_whitespace(joined), limit)
 
 
-def limit_skills(skills: Column) -> Column:
-    return F.slice(unique_ci(skills), 1, SKILL_LIMIT)
+def limit_evidence(evidence: Column, items: int | None = None, limit: int | None = None) -> Column:
+    kept = evidence if items is None else F.slice(evidence, 1, items)
+    return F.transform(kept, lambda e: e.withField("text", truncate(normalize_whitespace(e["text"]), limit)))
 
 
-def limit_description(c: Column) -> Column:
-    return truncate(normalize_whitespace(c), DESCRIPTION_LIMIT)
+def limit_skills(skills: Column, items: int | None = None) -> Column:
+    return unique_ci(skills) if items is None else F.slice(unique_ci(skills), 1, items)
 
 
-def limit_search_text(c: Column) -> Column:
-    return truncate(normalize_whitespace(c), SEARCH_LIMIT)
+def limit_text(c: Column, limit: int | None = None) -> Column:
+    return truncate(normalize_whitespace(c), limit)
 
 
 @F.pandas_udf(T.StringType())
@@ -166,11 +155,11 @@ def _decompose(values: pd.Series) -> pd.Series:
 
 
 def slugify(c: Column) -> Column:
-    """Lower-case ASCII slug. Only non-ASCII strings travel to the decomposition helper."""
+    """Lower-case ASCII slug of the whole text. Only non-ASCII strings travel to the decomposition helper."""
     non_ascii = F.when(c.rlike("[^\\x00-\\x7F]"), c)
     plain = F.coalesce(_decompose(non_ascii), c)
     dashed = F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-")
-    return F.substring(F.btrim(dashed, F.lit("-")), 1, 200)
+    return F.btrim(dashed, F.lit("-"))
 
 
 def quote_json(c: Column) -> Column:

@@ -56,7 +56,7 @@ def _authority(url: Column) -> Column:
 
 def _settle_path(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments; an empty path is the root."""
-    segments = F.slice(F.split(path, "/"), 2, 1_000_000)
+    segments = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
     last = F.element_at(segments, -1)
     kept = F.aggregate(
         segments,
@@ -83,7 +83,7 @@ def canonical_url(c: Column) -> Column:
 
 
 def _canonical(url: Column) -> Column:
-    pairs = F.filter(F.split(F.substring(_part(url, 4), 2, 1_000_000), "&"), lambda p: p != "")
+    pairs = F.filter(F.split(F.substring(_part(url, 4), F.lit(2), F.length(_part(url, 4))), "&"), lambda p: p != "")
 
     def recode(text: Column) -> tuple[Column, Column]:
         plain = F.coalesce(F.try_url_decode(text), text)

@@ -14,10 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Query limits and the columns full-text search covers.
-MAX_SKILLS = 10
-MAX_TOKENS = 12
-TOKEN_LENGTH = 80
+# The columns full-text search covers.
 SEARCH_COLUMNS = ("title", "company_name", "location_text", "skills_text", "search_text")
 
 
@@ -96,8 +93,8 @@ def _latin_folding() -> tuple[str, str]:
 
 def phrases(q: str) -> list[str]:
     """Query tokens: quotes dropped, each a phrase that must occur."""
-    tokens = [re.sub(r"[\"']", "", t)[:TOKEN_LENGTH] for t in q.strip().split()]
-    return [t for t in tokens if t][:MAX_TOKENS]
+    tokens = [re.sub(r"[\"']", "", t) for t in q.strip().split()]
+    return [t for t in tokens if t]
 
 
 def search_predicate(q: str, columns: Sequence[str] = SEARCH_COLUMNS) -> Column | None:
@@ -142,7 +139,7 @@ def conditions(f: JobFilter) -> list[Column]:
         found.append(F.col("action").isNull())
     elif f.action:
         found.append(F.col("action") == f.action)
-    skills = csv_values(f.skills)[:MAX_SKILLS]
+    skills = csv_values(f.skills)
     if skills:
         found.append(has_any_skill(F.col("skills"), skills))
     if f.changed:

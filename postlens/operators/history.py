@@ -12,15 +12,25 @@ from .joins import join_salted
 _LIMB = 6
 
 
-def dedupe_last(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
+def dedupe_last(df: DataFrame, keys: Sequence[str], ordinal: str, tie: Sequence[str] = ()) -> DataFrame:
     """Last record per key by ordinal, with the position of its first sighting as ``first_ordinal``.
 
     Only keys and ordinals are aggregated (map-side first); the wide rows are then
-    kept or dropped by a join that never gathers the copies of a key.
+    kept or dropped by a join that never gathers the copies of a key. Where ordinals may
+    repeat within a key, ``tie`` names columns that make the order total.
     """
-    ends = df.groupBy(*keys).agg(F.max(ordinal).alias("_last"), F.min(ordinal).alias("first_ordinal"))
-    ends = ends.withColumnRenamed("_last", ordinal)
-    return df.join(ends, [*keys, ordinal])
+    place = [ordinal, *tie]
+    ends = df.groupBy(*keys).agg(F.max(F.struct(*place)).alias("_last"), F.min(ordinal).alias("first_ordinal"))
+    ends = ends.select(*keys, "first_ordinal", *[F.col("_last")[c].alias(c) for c in place])
+    return df.join(ends, [*keys, *place])
+
+
+def one_each(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the last by ``order``, then by a hash of the whole row, so repeats and ties are settled alike."""
+    rest = [c for c in df.columns if c not in keys]
+    place = F.struct(*[F.col(c) for c in order], F.xxhash64(*[F.col(c) for c in rest]).alias("_hash"))
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("_row"))
+    return last.select(*[F.col("_row")[c].alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
 def keep_latest(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 from .filters import JobFilter, clamp_int, filter_jobs
 
 DEFAULT_LIMIT = 50
-MAX_LIMIT = 100
+# The largest limit Spark takes; a page holds as many rows as its caller asks for.
+MAX_LIMIT = 2**31 - 2
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,7 @@ def page_frame(df: DataFrame, f: JobFilter = JobFilter(), limit=None, cursor=Non
 
 
 def page(df: DataFrame, f: JobFilter = JobFilter(), limit=None, cursor=None) -> tuple[list[Row], str | None]:
-    """Items of one page (at most 100) and the cursor of the next, for an interactive caller."""
+    """Items of one page and the cursor of the next, for an interactive caller."""
     size = clamp_int(limit, DEFAULT_LIMIT, 1, MAX_LIMIT)
     rows = page_frame(df, f, limit, cursor).collect()
     items = rows[:size]

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import blank_to_null, canonical_json, json_object, json_string, trim
 from ..functions.values import next_due, retry_at
-from ..schemas import BROWSER_KIND, COMPANIES, CONFIG, CONFIG_TEXTS, SOURCE_RUNS, SOURCES, struct
+from ..schemas import BROWSER_KIND, COMPANIES, CONFIG, CONFIG_TEXTS, CRAWL_RUNS, SOURCE_RUNS, SOURCES, struct
+from .history import one_each
+from .state import insert_ignore
 
 SNAPSHOT = ("etag", "last_modified", "content_fingerprint", "snapshot_run_id")
 LEASE = ("lease_owner", "lease_until")
@@ -234,6 +236,7 @@ def edit_candidates(sources: DataFrame, edits: DataFrame) -> DataFrame:
     Edits carry ``id``, ``provided array<string>`` and the edited columns.
     """
     editable = ("company_id", "kind", "url", "adapter_key", "config_json", "crawl_interval_minutes")
+    edits = one_each(edits, ["id"], [c for c in ("changed_at",) if c in edits.columns])
     e = edits.select("id", "provided", F.col("active").alias("_active"), *[F.col(n).alias(f"_{n}") for n in editable])
     rows = sources.join(e, "id", "left")
 
@@ -309,7 +312,7 @@ def migrate_sources(sources: DataFrame) -> DataFrame:
 
 
 def _due_now(sources: DataFrame, ids: DataFrame, now: Column, extra: dict[str, Column]) -> DataFrame:
-    rows = sources.join(ids.select("id", F.lit(True).alias("_hit")), "id", "left")
+    rows = sources.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
     changes = {"status": F.lit("active"), "next_due_at": now, "updated_at": now, **_nulls(*LEASE), **extra}
     return _update(rows, F.col("_hit"), changes, sources.columns)
 
@@ -352,6 +355,16 @@ def create_companies(companies: DataFrame, inputs: DataFrame, now: Column) -> tu
 def apply_company_edits(companies: DataFrame, edits: DataFrame, now: Column) -> DataFrame:
     """Patch companies: an absent field keeps its value, an explicit null clears a link."""
     names = ("slug", "name", "careers_url", "remote_policy_url", "priority", "active")
+    edits = one_each(edits, ["id"], [c for c in ("changed_at",) if c in edits.columns])
+    # A slug that another company has, or that two edits ask for, is not taken over.
+    asked = edits.filter(F.array_contains("provided", "slug")).select("id", "slug")
+    kept = companies.select("id", "slug").join(asked.select("id"), "id", "left_anti")
+    twice = kept.unionByName(asked).groupBy("slug").agg(F.min("id").alias("_owner"), F.count(F.lit(1)).alias("_n"))
+    owned = kept.select("slug", F.lit(True).alias("_taken")).distinct()
+    clash = asked.join(twice.filter("_n > 1"), "slug").join(owned, "slug", "left")
+    clash = clash.filter(F.col("_taken").isNotNull() | (F.col("id") != F.col("_owner"))).select("id", F.lit(True).alias("_clash"))
+    edits = edits.join(clash, "id", "left")
+    edits = edits.withColumn("provided", F.when(F.col("_clash"), F.array_remove("provided", "slug")).otherwise(F.col("provided"))).drop("_clash")
     e = edits.select("id", "provided", *[F.col(n).alias(f"_{n}") for n in names])
     rows = companies.join(e, "id", "left")
 
@@ -376,7 +389,7 @@ def due_sources(sources: DataFrame, companies: DataFrame, now: Column, runner: s
         & free
         & (F.col("browser_required") == (runner == "browser"))
     ).join(active, "company_id", "left_semi")
-    chosen = due.orderBy("next_due_at", "id").limit(max(1, min(200, limit)))
+    chosen = due.orderBy("next_due_at", "id").limit(max(1, limit))
     names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"), "priority")
     trusted = F.col("snapshot_run_id").isNotNull() & F.col("content_fingerprint").isNotNull()
     rows = chosen.join(names, "company_id")
@@ -388,3 +401,34 @@ def due_sources(sources: DataFrame, companies: DataFrame, now: Column, runner: s
     ).orderBy(F.col("priority").desc(), "next_due_at", "id")
 
 
+def open_run(
+    sources: DataFrame, source_runs: DataFrame, crawl_runs: DataFrame, due: DataFrame, run_id: str, now: Column,
+    runner: str = "fast", trigger: str = "schedule", lease_seconds: int = 3_600,
+) -> dict[str, DataFrame]:
+    """New ``sources``, ``source_runs`` and ``crawl_runs`` with a run over the due sources opened.
+
+    Each due source that nobody holds is claimed for the run until its lease ends and gets a running source
+    run; the run records how many it has planned. Opening the same run again changes nothing.
+    """
+    free = F.col("lease_until").isNull() | (F.col("lease_until") < now)
+    claimed = sources.join(due.select("id").distinct(), "id", "left_semi").filter(free).select("id", "previous_job_count")
+    mark = claimed.select("id", F.lit(True).alias("_claimed"))
+    lease = {"lease_owner": F.lit(run_id), "lease_until": now + F.lit(lease_seconds), "updated_at": now}
+    new_sources = _update(sources.join(mark, "id", "left"), F.col("_claimed"), lease, sources.columns)
+    none = F.lit(None)
+    fields = {
+        "id": F.concat(F.lit(f"{run_id}:"), F.col("id")), "run_id": F.lit(run_id), "source_id": F.col("id"),
+        "status": F.lit("running"), "fetched_job_count": F.lit(0), "previous_job_count": F.col("previous_job_count"), "started_at": now,
+    }
+    runs = claimed.select(*[fields.get(f.name, none).cast(f.dataType).alias(f.name) for f in struct(SOURCE_RUNS)])
+    counted = claimed.agg(F.count(F.lit(1)).alias("n"))
+    run = {
+        "id": F.lit(run_id), "runner_type": F.lit(runner), "trigger_type": F.lit(trigger), "planned_source_count": F.col("n"),
+        "completed_source_count": F.lit(0), "failed_source_count": F.lit(0), "started_at": now, "status": F.lit("running"),
+    }
+    opened = counted.select(*[run.get(f.name, none).cast(f.dataType).alias(f.name) for f in struct(CRAWL_RUNS)])
+    return {
+        "sources": new_sources,
+        "source_runs": insert_ignore(source_runs, runs, ["run_id", "source_id"]),
+        "crawl_runs": insert_ignore(crawl_runs, opened, ["id"]),
+    }

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import dedupe_key, job_id, snapshot_json
 from ..schemas import JOB_ACTIONS, JOBS, struct
-from .history import build_versions
+from .history import build_versions, one_each
 from .joins import join_salted
 
 CLOSE_AFTER = 2
@@ -22,7 +22,7 @@ CLOSE_AFTER = 2
 def insert_ignore(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
     """Append delta rows whose key is not stored yet; of equal delta keys one (the first by order) stays."""
     if order is None:
-        fresh = delta.dropDuplicates(list(keys))
+        fresh = one_each(delta, keys)
     else:
         rest = [c for c in delta.columns if c not in keys]
         firsts = delta.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
@@ -53,9 +53,11 @@ def incoming_jobs(postings: DataFrame, now: Column) -> DataFrame:
 def upsert_jobs(jobs: DataFrame, incoming: DataFrame) -> DataFrame:
     """Refresh or add postings by (source_id, external_id).
 
-    Identity and first sighting of a known posting stay; absence is reset and it reopens.
+    Identity and first sighting of a known posting stay; absence is reset and it reopens. Of
+    several sightings of one posting the last counts, so a delta may be handed in twice.
     """
     key = ["source_id", "external_id"]
+    incoming = one_each(incoming, key, ["last_seen_at", "content_hash"])
     untouched = jobs.join(incoming.select(*key), key, "left_anti")
     kept = jobs.select(
         *key, F.col("id").alias("_id"), F.col("first_seen_at").alias("_first"), F.col("created_at").alias("_created")
@@ -70,18 +72,6 @@ def upsert_jobs(jobs: DataFrame, incoming: DataFrame) -> DataFrame:
     return untouched.select(*jobs.columns).unionByName(touched.select(*jobs.columns))
 
 
-def merge_jobs(jobs: DataFrame, table: str, incoming: DataFrame) -> None:
-    """The same upsert as a MERGE, for catalogs whose tables support row-level changes.
-
-    Only touched files are rewritten there. Plain parquet has no such catalog, so tests do not run this.
-    """
-    new = incoming.alias("new")
-    keep = {"id", "source_id", "external_id", "first_seen_at", "created_at"}
-    changes = {c: F.col(f"new.{c}") for c in jobs.columns if c not in keep}
-    match = F.expr(f"{table}.source_id = new.source_id AND {table}.external_id = new.external_id")
-    new.mergeInto(table, match).whenMatched().update(changes).whenNotMatched().insertAll().merge()
-
-
 def version_rows(postings: DataFrame) -> DataFrame:
     return postings.select(
         job_id(F.col("source_id"), F.col("external_id")).alias("job_id"),
@@ -97,7 +87,10 @@ def append_versions(versions: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def set_actions(actions: DataFrame, changes: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
-    """Upsert user actions of existing postings. Only ``applied`` keeps a time, now by default."""
+    """Upsert user actions of existing postings. Only ``applied`` keeps a time, now by default.
+
+    Of several changes of one posting the last stays, by ``changed_at`` where the changes have it."""
+    changes = one_each(changes, ["job_id"], [c for c in ("changed_at", "applied_at") if c in changes.columns])
     applied = F.when(F.col("action") == "applied", F.coalesce("applied_at", now))
     known = changes.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi")
     rows = known.withColumns({"applied_at": applied, "updated_at": now})

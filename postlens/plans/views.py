@@ -17,7 +17,6 @@ LIST_COLUMNS = (
     "evidence", "content_hash",
 )
 ACTION_COLUMNS = ("action", "dismiss_reason", "notes", "applied_at", "action_updated_at", "version_count")
-VERSIONS_SHOWN = 20
 
 
 def version_counts(versions: DataFrame) -> DataFrame:
@@ -80,9 +79,10 @@ def job_detail(jobs: DataFrame, actions: DataFrame, versions: DataFrame, compani
     return join_salted(join_salted(rows, company, ["company_id"], ["id"]), source, ["source_id"], ["id"])
 
 
-def job_versions(versions: DataFrame, job_id: str) -> DataFrame:
-    rows = versions.filter(F.col("job_id") == job_id)
-    return rows.orderBy(F.col("observed_at").desc()).limit(VERSIONS_SHOWN).select("content_hash", "snapshot_json", "observed_at")
+def job_versions(versions: DataFrame, job_id: str, newest: int | None = None) -> DataFrame:
+    """All versions of a posting, newest first, or the ``newest`` ones."""
+    rows = versions.filter(F.col("job_id") == job_id).orderBy(F.col("observed_at").desc())
+    return (rows if newest is None else rows.limit(newest)).select("content_hash", "snapshot_json", "observed_at")
 
 
 def latest_runs(source_runs: DataFrame) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import Column, functions as F, types as T
 from ..functions.html import DROPPED_ELEMENTS
 from .items import item
 
-MAX_CARDS = 300
 SIGNAL_NONE = "required-selector-not-found"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {
@@ -215,8 +214,6 @@ def page_cards(html: str, cfg: dict, rendered: bool) -> list[dict]:
         return []
     found = []
     for node in _tree(html).walk():
-        if len(found) == MAX_CARDS:
-            break
         if _matches(node, selector):
             found.append(_card(node, cfg, rendered))
     return found

@@ -67,8 +67,12 @@ def explode_items(df: DataFrame, kinds: tuple[str, ...] = SOURCE_KINDS) -> DataF
     """
     kind = F.col("kind")
     rows = df.select(
-        "source_id", "run_id", "kind", "source_url", "company_name", F.posexplode_outer("items").alias("ordinal", "_item")
+        "source_id", "run_id", "kind", "source_url", "company_name", F.posexplode_outer("items").alias("ordinal", "_item"),
+        *(["page"] if "page" in df.columns else []),
     ).filter(F.col("ordinal").isNotNull())
+    if "page" in df.columns:
+        # Postings are numbered over all pages of their source.
+        rows = rows.withColumn("ordinal", F.shiftleft((F.col("page") - 1).cast("bigint"), 32) + F.col("ordinal")).drop("page")
     texts = ("external_id", "url", "title", "department", "location_text", "employment_type", "html", "posted_text")
     rows = rows.withColumn("salary", F.lit(None).cast(SALARY)).withColumns({n: F.col("_item")[n] for n in texts})
     if "jsonld" in kinds:

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from postlens import schemas as S
-from postlens.operators import history, state
+from postlens.operators import history, sources as sources_ops, state
 from postlens.plans import reports, views
 from postlens.plans.collect import collect_run
 from postlens.sources.registry import parse_board_c
@@ -62,6 +62,46 @@ def test_first_run(make):
     assert (run.completed_source_count, run.failed_source_count) == (2, 2)
 
 
+def test_repeated_and_paged_landings_count_once(make):
+    sources = [source("s", "greenhouse")]
+    one, two = response("s", board("A", "B")), response("s", board("A", "B", "C"), url="https://u?page=2", fetched_at=60)
+    once = collect_run(make(S.RESPONSE, one), state_tables(make, sources=sources), F.lit(1000))
+    twice = collect_run(make(S.RESPONSE, one, one), state_tables(make, sources=sources), F.lit(1000))
+    for name in once.tables:
+        assert sorted(map(str, once.tables[name].collect())) == sorted(map(str, twice.tables[name].collect())), name
+    assert sorted(map(str, once.observations.collect())) == sorted(map(str, twice.observations.collect()))
+    paged = collect_run(make(S.RESPONSE, one, two, two), state_tables(make, sources=sources), F.lit(1000))
+    assert sorted(j.title for j in paged.tables["jobs"].collect()) == ["A", "B", "C"]
+    assert [o.fetched_job_count for o in paged.observations.collect()] == [3]
+    assert (paged.tables["sources"].count(), paged.tables["source_runs"].count()) == (1, 1)
+    assert paged.tables["crawl_runs"].first().completed_source_count == 1
+
+
+def test_a_finished_run_takes_nothing(make):
+    tables = state_tables(make, sources=[source("s", "greenhouse")])
+    tables["crawl_runs"] = tables["crawl_runs"].withColumn("status", F.lit("partial"))
+    result = collect_run(make(S.RESPONSE, response("s", board("A"))), tables, F.lit(1000))
+    assert [(r.source_id, r.reject_reason) for r in result.rejected.collect()] == [("s", "RUN_NOT_ACTIVE")]
+    assert result.tables["jobs"].isEmpty()
+
+
+def test_a_run_is_opened_over_fresh_state(make):
+    fresh = source("s", "greenhouse", lease_owner=None)
+    held = source("h", "greenhouse", lease_owner="r0", lease_until=5_000)
+    tables = {name: make(ddl) for name, ddl in S.TABLES.items()}
+    tables["companies"] = make(S.COMPANIES, dict(id="c1", slug="c", name="Co", priority=1, active=True, created_at=0, updated_at=0))
+    tables["sources"] = make(S.SOURCES, fresh, held)
+    opened = sources_ops.open_run(tables["sources"], tables["source_runs"], tables["crawl_runs"], tables["sources"], "r1", F.lit(1000).cast("bigint"))
+    again = sources_ops.open_run(opened["sources"], opened["source_runs"], opened["crawl_runs"], opened["sources"], "r1", F.lit(1000).cast("bigint"))
+    for name in opened:
+        assert sorted(map(str, opened[name].collect())) == sorted(map(str, again[name].collect()))
+    run = opened["crawl_runs"].first()
+    assert (run.id, run.planned_source_count, run.status) == ("r1", 1, "running")
+    assert {s.id: s.lease_owner for s in opened["sources"].collect()} == {"s": "r1", "h": "r0"}
+    result = collect_run(make(S.RESPONSE, response("s", board("A"))), {**tables, **opened}, F.lit(1000))
+    assert result.tables["jobs"].count() == 1 and result.rejected.isEmpty()
+
+
 def test_unchanged_feed_is_not_ingested_and_ages_the_absent(make):
     sources = [source("s", "greenhouse")]
     tables = state_tables(make, sources=sources)

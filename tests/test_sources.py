@@ -64,9 +64,9 @@ def card_page(n):
 CARDS = {"listSelector": "article.job", "titleSelector": ".title", "detailDescriptionSelector": ".description"}
 
 
-def test_cards_and_card_limit(make):
+def test_cards_of_a_long_page(make):
     rows = registry.parse_html_cards(feed(make, "static-html", card_page(301), CARDS))
-    assert rows.count() == 300
+    assert rows.count() == 301
     first = rows.orderBy("ordinal").first()
     assert (first.external_id, first.canonical_url, first.title, first.posted.text) == ("0", "https://base.com/j/0", "T0", "2026-01-01")
 
@@ -84,10 +84,13 @@ def test_detail_cap(make, spark):
         [("s1", "r1", f"https://base.com/j/{i}", f"<div class='description'>Detail {i}</div>", ".description", None) for i in range(61)],
         "source_id string, run_id string, url string, body string, selector string, error string",
     )
-    enriched, signals = enrich_details(postings, pages)
+    enriched, signals = enrich_details(postings, pages, cap=60)
     texts = [r.description_text for r in enriched.orderBy("ordinal").collect()]
     assert texts == [f"Detail {i}" for i in range(60)] + [""]
     assert [r.signal for r in signals.collect()] == ["detail-fetch-capped:1"]
+    every, none = enrich_details(postings, pages.union(pages))
+    assert [r.description_text for r in every.orderBy("ordinal").collect()] == [f"Detail {i}" for i in range(61)]
+    assert none.isEmpty()
 
 
 @pytest.mark.parametrize("selector", ["li:first-child", "a + b", ">", "a[href", "::before"])
@@ -119,9 +122,10 @@ def test_acceptance(make):
         {**base, "status": 200, "content_type": "application/pdf"}, {**base, "status": 200, "body": "x" * (5 * 1024 * 1024 + 1)},
     )
     split = landed.accept_responses(rows)
-    assert (split.ok.count(), split.not_modified.count()) == (1, 1)
+    assert (split.ok.count(), split.not_modified.count()) == (2, 1)
     reasons = sorted(r.rejected_reason for r in split.rejected.collect())
-    assert reasons == ["HTTP 500 for https://u", "Response exceeded 5MB", "Unsupported Content-Type: application/pdf"]
+    assert reasons == ["HTTP 500 for https://u", "Unsupported Content-Type: application/pdf"]
+    assert rows.filter(landed.rejection(max_bytes=10).startswith("Response exceeded")).count() == 1
 
 
 def test_tables_publish_only_finished_commits(spark, tmp_path):
