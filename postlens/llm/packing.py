@@ -30,7 +30,7 @@ def queues(tokens: DataFrame, window: int, weights: dict[str, float] | None, mos
     share = {r.source: r.n / total for r in top}
     wanted = {s: (weights or {}).get(s, x) for s, x in share.items()}
     rest = 1 - sum(share.values()) if len(top) == most else 0
-    scale = sum(wanted.values()) + max(0, rest)
+    scale = sum(wanted.values()) + max(0, rest) or 1
     rows = [(r.source, i, max(window * wanted[r.source] / scale, 1e-3)) for i, r in enumerate(top)]
     rows.append((None, most, max(window * rest / scale, 1e-3)))
     return spark.createDataFrame(rows, "source string, queue int, quantum double")
