@@ -16,14 +16,22 @@ by_value(__name__)
 
 TERM = re.compile(r"[^\W\d_]+")
 SPACE = 1 << 30
+STEMS = (4, 5)
+FREQUENT = 200
 REMEMBERED = 400_000
 THRESHOLD = 0.3
 
 
+def hashes_of(word: str) -> list[int]:
+    """Hashes of a word's terms: the word, and its first letters where it is longer, for inflected forms."""
+    terms = [word, *(f"{n} {word[:n]}" for n in STEMS if len(word) > n)]
+    return [zlib.crc32(t.encode("utf-8", "replace")) % SPACE for t in terms]
+
+
 def term_ids(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of a text's lower-cased words."""
+    """Sorted distinct hashes of the terms of a text's lower-cased words."""
     words = set(TERM.findall((text or "").lower()))
-    return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) % SPACE for w in words), np.uint32, len(words)))
+    return np.unique(np.array([h for w in words for h in hashes_of(w)], np.uint32))
 
 
 class FactorizationMachine:
@@ -48,7 +56,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def choose_terms(ids: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
-    """The `size` terms whose presence tells most about the label (G statistic), of those in three texts or more."""
+    """The `size` terms whose presence tells most about the label (G statistic).
+
+    A term counts only if chance would not give so strong a tie to the best of all terms (the likelihood ratio
+    must exceed the number of terms, with some room), or if FREQUENT texts hold it, as it may tell something in a
+    pair that it does not tell alone."""
     terms, where = np.unique(np.concatenate(ids), return_inverse=True)
     owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     seen = np.bincount(where, minlength=len(terms)).astype(float)
@@ -60,9 +72,9 @@ def choose_terms(ids: list[np.ndarray], labels: np.ndarray, size: int) -> np.nda
 
     gain = cell(toxic, seen * p / n) + cell(seen - toxic, seen * (n - p) / n)
     gain += cell(p - toxic, (n - seen) * p / n) + cell(n - seen - p + toxic, (n - seen) * (n - p) / n)
-    gain[seen < 3] = -1
-    best = np.argsort(-gain, kind="stable")[:size]
-    return np.sort(terms[best[gain[best] > 0]])
+    sure = (gain > np.log(len(terms)) + 2) | (seen >= FREQUENT)
+    best = np.argsort(-np.where(sure, gain, -1), kind="stable")[: min(size, int(sure.sum()))]
+    return np.sort(terms[best])
 
 
 def find_places(terms: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,10 +84,10 @@ def find_places(terms: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(known), place[known]
 
 
-def train(ids: list[np.ndarray], labels: np.ndarray, size: int = 4096, rank: int = 8, epochs: int = 30, batch: int = 512, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
+def train(ids: list[np.ndarray], labels: np.ndarray, size: int = 2048, rank: int = 8, epochs: int = 20, batch: int = 512, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
     """Fit by AdaGrad on the logistic loss, in batches whose order is fixed by the seed."""
     labels = np.asarray(labels, float)
-    prior = (labels.sum() + 0.5) / (len(labels) + 1)
+    prior = (labels.sum() + 0.5) / (len(labels) + 10)
     none = np.zeros(0)
     if not len(ids) or not sum(map(len, ids)):
         return FactorizationMachine(none.astype(np.uint32), float(np.log(prior / (1 - prior))), none, np.zeros((0, rank)))
@@ -126,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **settings) ->
     def hashed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: term_ids(t).tobytes())
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", hashed("text").alias("ids")).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", hashed("text").alias("ids")).toArrow().to_pandas()
     rows = rows.sort_values(["doc_id", "ids"], kind="stable").drop_duplicates("doc_id")
     ids = [np.frombuffer(x, np.uint32) for x in rows["ids"]]
     return train(ids, rows["toxic"].to_numpy(), **settings)
@@ -149,8 +161,8 @@ def score_column(fm: FactorizationMachine, text: Column) -> Column:
                 if fresh := [w for w in found if w not in words]:
                     if len(words) + len(fresh) > REMEMBERED:
                         words = cache["words"] = {w: words[w] for w in found if w in words}
-                    words.update((w, chosen.get(zlib.crc32(w.encode("utf-8", "replace")) % SPACE, -1)) for w in fresh)
-                own = set(map(words.__getitem__, found)) - {-1}
+                    words.update((w, tuple(chosen[h] for h in hashes_of(w) if h in chosen)) for w in fresh)
+                own = set().union(*map(words.__getitem__, found))
                 places += sorted(own)
                 rows += [i] * len(own)
             logits = fm.logits(np.array(rows, np.int64), np.array(places, np.int64), len(texts))
