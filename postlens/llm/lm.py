@@ -107,10 +107,11 @@ class LogBilinear:
 
 def head_of(counts: DataFrame, size: int) -> list[tuple[str, int]]:
     """The `size` most frequent tokens with their counts, ties by text."""
-    return [tuple(r) for r in counts.orderBy(F.desc("c"), "token").limit(size).select("token", "c").toPandas().itertuples(index=False)]
+    found = counts.orderBy(F.desc("c"), "token").limit(size).select("token", "c").toArrow()
+    return list(zip(found.column("token").to_pylist(), found.column("c").to_pylist()))
 
 
-def language_model(docs: DataFrame, classes: int = 1023, lexicon: int = 1 << 18, scratch: Scratch | None = None, **settings) -> DataFrame:
+def language_model(docs: DataFrame, classes: int = 1023, lexicon: int = 1 << 17, scratch: Scratch | None = None, **settings) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Counts cover all tokens of all documents that are not held out. The `classes` most frequent tokens are
@@ -127,9 +128,9 @@ def language_model(docs: DataFrame, classes: int = 1023, lexicon: int = 1 << 18,
     known = head_of(counts, max(classes, lexicon))
     head = [t for t, _ in known[:classes]]
     size = len(head) + 1
-    pairs = count_pairs(learned, head).toPandas()
+    pairs = count_pairs(learned, head).toArrow()
     matrix = np.zeros(size * size)
-    matrix[pairs["pair"].to_numpy(np.int64)] = pairs["c"]
+    matrix[pairs.column("pair").to_numpy()] = pairs.column("c").to_numpy()
     model = LogBilinear.train(matrix.reshape(size, size), **settings)
     rest, kinds = n - sum(c for _, c in known[: size - 1]), v - (size - 1)
     shared = spark.sparkContext.broadcast((model.table, [t for t, _ in known], np.log10(np.array([c for _, c in known], float) + 1)))
