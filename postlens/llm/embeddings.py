@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postlens.llm.graph import components
+from postlens.llm.graph import components, roots
 from postlens.llm.shared import Scratch, by_value, partitions
 
 by_value(__name__)
@@ -62,20 +62,6 @@ def centres_of(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 3) -> np
     return centres
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index that each index reaches by the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_vectors(table: DataFrame, least: float = 0.95, sample: int = 16_384, per_cell: int = 128, probes: int = 6, sigmas: float = 4.0, scratch: Scratch | None = None) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept.
 
@@ -129,8 +115,8 @@ def near_vectors(table: DataFrame, least: float = 0.95, sample: int = 16_384, pe
 
 def _links_of(classes: DataFrame, n: int, dimension: int, least: float, sample: int, per_cell: int, probes: int, sigmas: float, scratch: Scratch, name: str) -> DataFrame:
     """(row, linked, root) for classes of one dimension: parts of the number of vectors linked, and forest links."""
-    chosen = classes.orderBy(F.xxhash64("row"), "row").limit(sample).toPandas()
-    units = unit_vectors(list(chosen["data"]))
+    chosen = classes.orderBy(F.xxhash64("row"), "row").limit(sample).select("data").toArrow()
+    units = unit_vectors(chosen.column("data").to_pylist())
     centres = centres_of(units, int(min(max(1, n // per_cell), max(1, len(units) // 4)))).astype(np.float32)
     probes = min(probes, len(centres))
     shared = classes.sparkSession.sparkContext.broadcast(centres)
@@ -175,7 +161,7 @@ def _links_of(classes: DataFrame, n: int, dimension: int, least: float, sample:
         linked_m = np.bincount(b[unseen], copies_q[a[unseen]], len(shelf))
         rows = np.concatenate([rows_q, rows_m])
         distinct, at = np.unique(rows, return_inverse=True)
-        root = distinct[_roots(len(distinct), at[a], at[len(rows_q) + b])]
+        root = distinct[roots(len(distinct), at[a], at[len(rows_q) + b])]
         linked = np.bincount(at, np.concatenate([linked_q, linked_m]), len(distinct)).astype(np.int64)
         keep = (linked > 0) | (root != distinct)
         return pd.DataFrame({"row": distinct[keep], "linked": linked[keep], "root": root[keep]})

@@ -2,9 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postlens.llm.shared import Scratch
+from postlens.llm.shared import Scratch, by_value
+
+by_value(__name__)
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n indices reaches by the pairs."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """A spanning forest of the links of each batch of a task: as connected, but no more rows than nodes."""
+    first, second = links.columns
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            nodes, at = np.unique(both, return_inverse=True)
+            root = roots(len(nodes), at[: batch.num_rows], at[batch.num_rows :])
+            rest = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[rest]), pa.array(nodes[root[rest]])], names=[first, second])
+
+    return links.mapInArrow(task, f"{first} long, {second} long")
 
 
 def _large(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postlens.llm.graph import components
+from postlens.llm.graph import components, forest
 from postlens.llm.shared import Scratch, by_value
 
 by_value(__name__)
@@ -88,15 +88,16 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     shelf = prints.select(fp.alias("b"), F.inline(F.array(*filed)))
     probe = prints.select(fp.alias("a"), F.inline(F.array(*asked)))
     differing = F.col("a").bitwiseXOR(F.col("b"))
-    chain_ok = F.lit(False)
-    for i in range(m):
-        total, ok = F.lit(0), F.col("start") == i
+    # A pair may have chains from several starts; the first of them stands for it, so each pair comes out once.
+    first = F.lit(None)
+    for i in reversed(range(m)):
+        total, ok = F.lit(0), F.lit(True)
         for length in range(1, m + 1):
             total = total + F.bit_count(part(differing, ring[(i + length - 1) % m]))
             ok = ok & (total * m <= length * distance)
-        chain_ok = chain_ok | ok
-    pairs = probe.join(shelf, ["start", "key"]).where((F.col("a") < F.col("b")) & chain_ok & (F.bit_count(differing) <= distance))
-    return pairs.select("a", "b").distinct()
+        first = F.when(ok, i).otherwise(first)
+    pairs = probe.join(shelf, ["start", "key"]).where((F.col("a") < F.col("b")) & (F.col("start") == first) & (F.bit_count(differing) <= distance))
+    return pairs.select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, scratch: Scratch | None = None) -> DataFrame:
@@ -108,7 +109,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, scratch:
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(docs.select("doc_id", fingerprint_column(F.col("text"), words).alias("fp")), "prints")
     classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    members = components(links(classes, distance), scratch)
+    members = components(forest(links(classes, distance)), scratch)
     labelled = classes.join(members.select(F.col("node").alias("fp"), "component"), "fp", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -128,7 +129,7 @@ def keep_one(docs: DataFrame, distance: int = 4, words: int = 4) -> DataFrame:
     staged = scratch.keep(staged.withColumn("place", F.monotonically_increasing_id()), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "place")).alias("first")
     classes = scratch.keep(staged.groupBy("fp").agg(first), "classes")
-    members = components(links(classes.select("fp"), distance), scratch)
+    members = components(forest(links(classes.select("fp"), distance)), scratch)
     labelled = classes.join(members.select(F.col("node").alias("fp"), "component"), "fp", "left")
     kept = labelled.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
     return staged.join(kept.select(F.col("first.place").alias("place")), "place", "left_semi").select("row.*")
