@@ -19,6 +19,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BREAK), lambda w: w != "")
 
 
+def digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def winnow(frame: DataFrame, need: int, window: int, k: int, out: str) -> DataFrame:
     """Add the fingerprints (need, place, hash) of `words`: the smallest k-gram hash of each `need` words.
 
@@ -67,7 +71,7 @@ def matches(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int, k:
 
     Both sides are winnowed. A document's fingerprints that pass the fixed-size filter of the benchmark's meet
     equal ones in a join, with the words around them; each meeting is extended to the window and its words are
-    compared. `docs` has a column `row` that tells rows apart."""
+    compared. `docs` has a column `row`: the digest of its text, so equal texts share what is found."""
     if not 1 <= k <= window:
         raise ValueError("k must be from 1 to window")
     owners = scratch.keep(bench_windows(items, window), "owners")
@@ -111,7 +115,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     has fewer). Null and empty texts have no words, items of no words never occur, an item_id of null counts as
     empty text; of repeated item_ids one counts. Repeated documents give repeated rows."""
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
-    rows, found, owners = matches(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), items, scratch, window, k)
+    rows, found, owners = matches(docs.select(digest(F.col("text")).alias("row"), "doc_id", "text"), items, scratch, window, k)
     covered = found.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("need") - 1)).alias("word")).distinct()
     n_hit = covered.groupBy("row").agg(F.count("*").alias("n_hit"))
     owned = found.select("row", "window_id").join(owners, "window_id").select("row", "item").distinct()
@@ -124,7 +128,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
 def keep_unseen(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 4) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with their columns as they are."""
     scratch = Scratch(docs.sparkSession, "decontaminate-keep")
-    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    staged = scratch.keep(docs.select("doc_id", "text", held.alias("held")).withColumn("row", F.monotonically_increasing_id()).select("row", "held"), "rows")
-    _, found, _ = matches(staged.select("row", F.col("held.doc_id").alias("doc_id"), F.col("held.text").alias("text")), items, scratch, window, k)
-    return staged.join(found.select("row").distinct(), "row", "left_anti").select("held.*")
+    row = digest(F.col("text")).alias("row")
+    _, found, _ = matches(docs.select(row, "doc_id", "text"), items, scratch, window, k)
+    held = docs.select(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"))
+    # What is found grows with the corpus, so it is never broadcast.
+    return held.join(found.select("row").distinct().hint("merge"), "row", "left_anti").select("held.*")
