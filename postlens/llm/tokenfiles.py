@@ -17,17 +17,56 @@ by_value(__name__)
 
 END_ID = 2
 #: A blank before one of these always begins a new pre-token, so the text may be cut there.
+SAFE = re.compile("[!-~¡-ᙿ、-퟿]")
 CUT = re.compile("\x20(?=[!-~¡-ᙿ、-퟿])")
-REMEMBERED = 400_000
+SIGNS = frozenset(".,;:!?")
+REMEMBERED = 200_000
 LONGEST = 64
+GROUP = 256
+
+
+def parts_of(piece: str, lead: str) -> list[str]:
+    """A piece cut where a pre-token ends as well: before a sign after a word, and at a single line end between a
+    word or sign and a word. What is of no such form stays whole."""
+    if piece.isalpha():
+        return [lead + piece]
+    if piece[-1] in SIGNS and piece[:-1].isalpha():
+        return [lead + piece[:-1], piece[-1]]
+    head, line, rest = piece.partition("\n")
+    if line and head and rest[:1].isalpha():
+        if head.isalpha():
+            return [lead + head + "\n", *parts_of(rest, "")]
+        if head[-1] in SIGNS and head[:-1].isalpha():
+            return [lead + head[:-1], head[-1] + "\n", *parts_of(rest, "")]
+    return [lead + piece]
+
+
+class Memory:
+    """Values of the last keys asked for: two dicts of at most `size` entries, the older of which goes first."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys without a value; all others are in `young` now."""
+        fresh = keys.difference(self.young)
+        again = {k: self.old[k] for k in fresh if k in self.old}
+        self.young.update(again)
+        return [k for k in fresh if k not in again]
+
+    def trim(self, long: list[str]) -> None:
+        for k in long:
+            self.young.pop(k, None)
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file, encoding each distinct word once.
+    """Ids of texts by a tokenizer file, encoding each distinct part of a word once.
 
     The tokenizer must start a pre-token at each blank before a word, as byte-level and word-end BPE do; then a
-    text's ids are those of its pieces in order. Memory is bounded: the worker forgets its words when it has
-    REMEMBERED of them, and never remembers pieces over LONGEST characters."""
+    text's ids are those of its pieces in order, and new parts can be encoded many at a time. Memory is bounded: a
+    worker remembers twice REMEMBERED pieces and as many parts, and none over LONGEST characters."""
 
     def __init__(self, path: str):
         import os
@@ -35,31 +74,71 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache = worker_cache("encoders")
         if path not in cache:
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, pre_tokenizers
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.encode_special_tokens = True
-            cache[path] = (tokenizer, {})
-        self.tokenizer, self.known = cache[path]
+            byte_level = isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and tokenizer.normalizer is None
+            suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+            # What each id adds to a text: a byte-level token has a character for each byte; else the end of a word or not.
+            adds = np.zeros(tokenizer.get_vocab_size(), np.int64)
+            for token, i in tokenizer.get_vocab().items():
+                adds[i] = len(token) if byte_level else bool(suffix) and token.endswith(suffix)
+            # A tokenizer of another kind must drop blanks; whether it folds case is tried on the letters it can fold.
+            folds = tokenizer.encode("AB Z", add_special_tokens=False).ids == tokenizer.encode(" ab  z", add_special_tokens=False).ids
+            cache[path] = (tokenizer, byte_level, adds, folds, Memory(REMEMBERED), Memory(REMEMBERED))
+        self.tokenizer, self.byte_level, self.adds, self.folds, self.pieces, self.parts = cache[path]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
-
-    def __call__(self, text: str | None, end_id: int = END_ID) -> bytes:
-        """The ids in the file's type, the end id included; a null text is empty."""
-        first, *rest = CUT.split(text or "")
-        known = self.known
-        parts = list(map(known.get, rest))
-        if None in parts:
-            missing = list({p for p, ids in zip(rest, parts) if ids is None})
-            fresh = dict(zip(missing, self._encode(["\x20" + p for p in missing])))
-            parts = [fresh[p] if ids is None else ids for p, ids in zip(rest, parts)]
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-            known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
-        return b"".join([*(self._encode([first]) if first else ()), *parts, np.array([end_id], self.dtype).tobytes()])
+    def _array(self, found) -> np.ndarray:
+        return np.array(found.ids, self.dtype)
+
+    def _encode(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts, many in one call where they can be told apart: byte-level ones that begin with a blank by
+        their bytes, others by the ends of words if they are one word or sign each."""
+        joint = [p for p in parts if p[0] == "\x20"] if self.byte_level else [p for p in parts if p.isalpha() or p in SIGNS]
+        gap, out = "" if self.byte_level else "\x20", {}
+        groups = [joint[i : i + GROUP] for i in range(0, len(joint), GROUP)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([gap.join(g) for g in groups], add_special_tokens=False)):
+            ids = self._array(found)
+            sizes = [len(p.encode("utf-8", "replace")) for p in group] if self.byte_level else [1] * len(group)
+            cuts = np.searchsorted(np.cumsum(self.adds[ids]), np.cumsum(sizes)) + 1
+            if self.adds[ids].sum() != sum(sizes) or cuts[-1] != len(ids):
+                continue
+            flat, edges = ids.tobytes(), [0, *(cuts * ids.itemsize).tolist()]
+            out.update(zip(group, [flat[a:b] for a, b in zip(edges, edges[1:])]))
+        rest = [p for p in parts if p not in out]
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
+        out.update((p, self._array(f).tobytes()) for p, f in zip(rest, found))
+        return out
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that follow a blank, by their parts."""
+        lead = "\x20" if self.byte_level else ""
+        fold = self.folds and not self.byte_level
+        split = [parts_of(p.lower() if fold and p.isascii() else p, lead) for p in pieces]
+        wanted = {x for parts in split for x in parts}
+        self.parts.young.update(self._encode(self.parts.missing(wanted)))
+        known = self.parts.young
+        out = [known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts]) for parts in split]
+        self.parts.trim([x for x in wanted if len(x) > LONGEST])
+        return out
+
+    def __call__(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
+        """The ids of each text in the file's type, the end id included; a null text is empty."""
+        split = [(t or "").split("\x20") for t in texts]
+        missing = self.pieces.missing(set().union(*split))
+        unsafe = {p for p in missing if not SAFE.match(p)}
+        if unsafe:
+            split = [parts if unsafe.isdisjoint(parts[1:]) else CUT.split(t) for parts, t in zip(split, texts)]
+            missing = self.pieces.missing({p for parts in split for p in parts[1:]})
+        self.pieces.young.update(zip(missing, self._pieces(missing)))
+        get = self.pieces.young.__getitem__
+        end = np.array([end_id], self.dtype).tobytes()
+        firsts = self.tokenizer.encode_batch_fast([parts[0] for parts in split], add_special_tokens=False) if split else []
+        out = [b"".join([self._array(f).tobytes(), *map(get, parts[1:]), end]) for f, parts in zip(firsts, split)]
+        self.pieces.trim([p for p in missing if len(p) > LONGEST])
+        return out
 
 
 def crc(ids: np.ndarray) -> int:
@@ -81,12 +160,12 @@ def shard_writer(folder: str, path: str, columns: list[str]):
         with files.open_output_stream(f"{at}/{name}") as out:
             for batch in batches:
                 places, counts = [], []
-                for text in batch.column("text").to_pylist():
-                    ids = encode(text)
-                    out.write(ids)
-                    places.append(place)
-                    counts.append(len(ids) // width)
-                    place += counts[-1]
+                for at_row in range(0, batch.num_rows, GROUP):
+                    for ids in encode(batch.column("text").slice(at_row, GROUP).to_pylist()):
+                        out.write(ids)
+                        places.append(place)
+                        counts.append(len(ids) // width)
+                        place += counts[-1]
                 own = [batch.column(c) for c in columns]
                 made = [pa.array(counts, pa.int64()), pa.array([name] * len(counts), pa.string()), pa.array(places, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*own, *made], names=[*columns, "n_tokens", "file", "place"])
