@@ -11,7 +11,8 @@ from postlens.llm.shared import Scratch, bound
 #: Titles that announce a name, by gender.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sir", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Madam", "Госпожа", "Κυρία")
-TITLE = "(?:" + "|".join((*FEMALE, *MALE)) + ")\\.? "
+#: In any case, except that "miss" in lower case is a verb.
+TITLE = "(?!miss)(?iu:" + "|".join((*FEMALE, *MALE)) + ")\\.? "
 NAME = r"\p{Lu}[\p{L}'-]+"
 #: Parts of made-up names by script: heads, links, and the endings of male, female and family names.
 SYLLABLES = {
@@ -23,7 +24,7 @@ EDGE, STOP = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: (type, expression of a mention, expression of the prefix that stays). The first that fits names the type.
 ENTITIES = (
     ("email", r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z._%+-]{1,64}@[0-9A-Za-z](?:[0-9A-Za-z-]*[0-9A-Za-z])?(?:\.[0-9A-Za-z-]*[0-9A-Za-z])+", ""),
-    ("secret", r"(?:password|passwd|secret|token|api_key)[\x20]?[=:][\x20]?[\"']?[0-9A-Za-z_./+-]{6,}", r"[a-z_]+[\x20]?[=:][\x20]?[\"']?"),
+    ("secret", r"(?i:password|passwd|secret|token|api_key)[\x20]?[=:][\x20]?[\"']?[0-9A-Za-z_./+-]{6,}", r"[A-Za-z_]+[\x20]?[=:][\x20]?[\"']?"),
     ("key", EDGE + r"A[KS]IA[0-9A-Z]{16}" + STOP, "A[KS]IA"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ""),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", ""),
@@ -109,7 +110,7 @@ def units(kind: Column, core: Column, prefix: Column) -> Column:
     """What of a mention is replaced as one: (kind, canon). Names are replaced word by word, so a name in full
     and by family name alone stay one person; forms of one number, or of one address in other case, are one."""
     title = F.regexp_replace(prefix, "\\.? $", "")
-    gender = F.when(title.isin(*FEMALE), F.lit("name-f")).otherwise(F.lit("name-m"))
+    gender = F.when(F.lower(title).isin(*[t.lower() for t in FEMALE]), F.lit("name-f")).otherwise(F.lit("name-m"))
     words = F.split(core, " ")
     named = F.transform(words, lambda w, i: F.struct(F.when((i == 0) & (F.size(words) > 1), gender).otherwise(F.lit("name-family")).alias("kind"), w.alias("canon")))
     digits = alnum(core)
