@@ -36,6 +36,8 @@ ENTITIES = (
 )
 ANY = "|".join(f"(?:{e})" for _, e, _ in ENTITIES)
 ROUNDS = 64
+#: Tries in the mention's own form. After them the space of a type grows with each try, or takes all valid values.
+OWN_FORM = 4
 
 
 def kind_of(mention: Column) -> Column:
@@ -75,34 +77,41 @@ def drawn(core: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(core), F.lit(1)) - 1), one), "")
 
 
-def syllables(script: str, role: Column, digest: Column) -> Column:
+def syllables(script: str, role: Column, digest: Column, more: Column) -> Column:
+    """A made-up name with `more` further links."""
     heads, links, male, female, family = ([F.lit(x) for x in part.split()] for part in SYLLABLES[script])
     ends = {"m": male, "f": female, "family": family}
     word = F.concat(F.get(F.array(*heads), pick(digest, F.lit(0), len(heads))), F.get(F.array(*links), pick(digest, F.lit(1), len(links))), F.get(F.array(*links), pick(digest, F.lit(2), len(links))))
     ending = reduce(lambda rest, k: F.when(role == k, F.get(F.array(*ends[k]), pick(digest, F.lit(3), len(ends[k])))).otherwise(rest), ends, F.lit(""))
-    return F.concat(word, ending)
+    further = F.transform(F.slice(F.sequence(F.lit(4), F.lit(31)), F.lit(1), more), lambda i: F.get(F.array(*links), pick(digest, i, len(links))))
+    return F.concat(word, F.array_join(further, ""), ending)
 
 
-def surrogate(kind: Column, canon: Column, digest: Column) -> Column:
+def surrogate(kind: Column, canon: Column, digest: Column, tries: Column) -> Column:
     """The replacement of a unit in canonical form. Cards keep their first digit and whether their check digit is
-    right, email addresses move to example domains, address parts keep their digits' number."""
-    any_drawn = drawn(canon, digest)
+    right, email addresses move to example domains, address parts keep their digits' number. From the OWN_FORM-th try on domains get a drawn label, names further
+    syllables and other words further letters, one more each time; addresses and numbers of people any valid value."""
+    more = F.least(F.greatest(tries - OWN_FORM + 1, F.lit(0)), F.lit(24))
+    letters = F.array_join(F.transform(F.slice(F.sequence(F.lit(0), F.lit(23)), F.lit(1), more), lambda i: F.char(97 + pick(F.sha2(F.concat(digest, F.lit("more")), 512), i, 26))), "")
+    any_drawn = F.concat(drawn(canon, digest), F.when(kind == "secret", letters).otherwise(F.lit("")))
     body = F.concat(F.substring(canon, 1, 1), drawn(F.expr("substring(canon, 2, length(canon) - 2)"), digest))
     right = F.get(F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: F.call_function("luhn_check", F.concat(body, d))), F.lit(0))
     wrong = F.pmod(right.cast("int") + 1 + pick(digest, F.lit(31), 9), F.lit(10)).cast("string")
     card = F.concat(body, F.when(F.call_function("luhn_check", canon), right).otherwise(wrong))
-    octet = lambda o, i: F.when(F.length(o) == 1, 1 + pick(digest, i, 9)).when(F.length(o) == 2, 10 + pick(digest, i, 90)).otherwise(100 + pick(digest, i, 156)).cast("string")
+    octet = lambda o, i: F.when(more > 0, 1 + pick(digest, i, 255)).when(F.length(o) == 1, 1 + pick(digest, i, 9)).when(F.length(o) == 2, 10 + pick(digest, i, 90)).otherwise(100 + pick(digest, i, 156)).cast("string")
     ip = F.array_join(F.transform(F.split(canon, "\\."), octet), ".")
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     labels = F.split(domain, "\\.")
     inner = drawn(F.array_join(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), "."), F.sha2(digest, 512))
     top = F.substring_index(domain, ".", -1)
     host = F.concat(F.lit("example."), F.when(top.isin("com", "net", "org"), top).otherwise(F.lit("com")))
+    host = F.when(more > 0, F.concat(letters, F.lit("."), host)).otherwise(host)
     email = F.concat(drawn(local, digest), F.lit("@"), F.when(F.size(labels) > 2, F.concat(inner, F.lit("."), host)).otherwise(host))
     role = F.substring_index(kind, "-", -1)
-    script = F.when(F.regexp_like(canon, F.lit("\\p{IsCyrillic}")), syllables("cyrillic", role, digest)).when(F.regexp_like(canon, F.lit("\\p{IsGreek}")), syllables("greek", role, digest)).otherwise(syllables("latin", role, digest))
-    phone = F.concat((1 + pick(digest, F.lit(0), 9)).cast("string"), drawn(F.expr("substring(canon, 2)"), F.sha2(digest, 512)))
-    ssn = F.concat(F.lit("9"), drawn(F.expr("substring(canon, 2)"), digest))
+    script = F.when(F.regexp_like(canon, F.lit("\\p{IsCyrillic}")), syllables("cyrillic", role, digest, more)).when(F.regexp_like(canon, F.lit("\\p{IsGreek}")), syllables("greek", role, digest, more)).otherwise(syllables("latin", role, digest, more))
+    lead = lambda least: F.when(more > 0, pick(digest, F.lit(0), 10)).otherwise(least).cast("string")
+    phone = F.concat(lead(1 + pick(digest, F.lit(0), 9)), drawn(F.expr("substring(canon, 2)"), F.sha2(digest, 512)))
+    ssn = F.concat(lead(F.lit(9)), drawn(F.expr("substring(canon, 2)"), F.sha2(digest, 512)))
     return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind.startswith("name"), script).otherwise(any_drawn)
 
 
@@ -134,13 +143,14 @@ def assign(units_seen: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """(kind, canon, surrogate): distinct units get distinct surrogates, none of which is itself a unit seen.
 
     Each draw is a keyed digest of the unit and the number of its tries. Of units that drew the same surrogate
-    the first by text keeps it; the others, and those that hit a real unit, draw again until none is left."""
+    the first by text keeps it; the others, and those that hit a real unit, draw again until none is left. The space
+    grows with the tries, so a full one ends nothing; ROUNDS is reached only if all valid values are in use."""
     known = scratch.keep(units_seen.distinct(), "units")
 
     def draw(df: DataFrame) -> DataFrame:
         seeded = lambda b: F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon", F.col("tries").cast("string"), b.cast("string")), 512)
         long = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length("canon") / 32).cast("int")), seeded), "")
-        return bound(bound(df.select("kind", "canon", "tries"), digest=long), surrogate=surrogate(F.col("kind"), F.col("canon"), F.col("digest"))).drop("digest")
+        return bound(bound(df.select("kind", "canon", "tries"), digest=long), surrogate=surrogate(F.col("kind"), F.col("canon"), F.col("digest"), F.col("tries"))).drop("digest")
 
     state = scratch.keep(draw(known.withColumn("tries", F.lit(0))), "draw-0")
     real = known.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))

@@ -19,3 +19,10 @@ def test_key_words_and_titles_in_any_case(spark):
     assert found[-1] == texts[-1]
     assert found[4].split()[1].lower().endswith("a")
     assert re.fullmatch('TOKEN = "[0-9][0-9A-Z]{19}"', found[0])
+
+
+def test_a_full_space_grows(spark):
+    """Twenty-six surrogates of the same form for two hundred one-letter mailboxes, all of ten for one-digit words."""
+    found = replaced(spark, [f"to {chr(97 + i % 26)}@firm{i}.com now" for i in range(200)])
+    addresses = [re.fullmatch(r"to ([a-z]@(?:[a-z]+\.)?example\.com) now", t)[1] for t in found]
+    assert len(set(addresses)) == 200
