@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,25 +19,30 @@ ROUNDS_PER_BLOCK = 1024
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def queues(tokens: DataFrame, window: int, weights: dict[str, float] | None, most: int) -> DataFrame:
-    """(source, queue, quantum) of the `most` sources with most tokens; the rest shares the last queue.
+def queues(tokens: DataFrame, window: int, weights: dict[str, float] | None) -> DataFrame:
+    """(name, queue, quantum) of every source, a null one included.
 
     A quantum is what a queue may send in a round: its share of a window, as given by `weights` (by source, any
-    scale; a source that is not named weighs its own share), else its share of all tokens."""
-    spark = tokens.sparkSession
-    sums = tokens.groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    scale; a source that is not named weighs its own share), else its share of all tokens. A weight that no source
+    has or that is no finite number from zero on is an error."""
+    sums = tokens.groupBy(F.col("source").alias("name")).agg(F.sum("n_tokens").alias("n"))
     total = sums.agg(F.sum("n")).first()[0] or 1
-    top = sums.orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(most).collect()
-    share = {r.source: r.n / total for r in top}
-    wanted = {s: (weights or {}).get(s, x) for s, x in share.items()}
-    rest = 1 - sum(share.values()) if len(top) == most else 0
-    scale = sum(wanted.values()) + max(0, rest) or 1
-    rows = [(r.source, i, max(window * wanted[r.source] / scale, 1e-3)) for i, r in enumerate(top)]
-    rows.append((None, most, max(window * rest / scale, 1e-3)))
-    return spark.createDataFrame(rows, "source string, queue int, quantum double")
-
-
-def schedule(tokens: DataFrame, window: int, weights: dict[str, float] | None, most: int, segment: int) -> DataFrame:
+    given = [(name, float(w)) for name, w in (weights or {}).items()]
+    wanted = sums.withColumn("weight", F.lit(None).cast("double"))
+    if given:
+        table = tokens.sparkSession.createDataFrame(given, "given string, weight double")
+        unknown = table.join(sums, F.col("given").eqNullSafe(F.col("name")), "left_anti").collect()
+        wrong = [r.given for r in unknown] + [name for name, w in given if not 0 <= w < math.inf]
+        if wrong:
+            raise ValueError(f"weights that can't be applied: {wrong}")
+        wanted = sums.join(table, F.col("given").eqNullSafe(F.col("name")), "left").drop("given")
+    wanted = wanted.withColumn("share", F.coalesce("weight", F.col("n") / F.lit(total)))
+    scale = wanted.agg(F.sum("share")).first()[0] or 1
+    quantum = F.greatest(F.lit(window) * F.col("share") / F.lit(scale), F.when(F.col("weight").isNull(), 1e-9).otherwise(1e-3))
+    return wanted.select("name", F.coalesce(F.concat(F.lit("="), "name"), F.lit("")).alias("queue"), quantum.alias("quantum"))
+
+
+def schedule(tokens: DataFrame, window: int, weights: dict[str, float] | None, segment: int) -> DataFrame:
     """Add to each segment of a document its position in the stream that the queues send.
 
     Deficit round-robin: in each round a queue's credit grows by its quantum, and it sends the segments that its
@@ -44,11 +50,8 @@ def schedule(tokens: DataFrame, window: int, weights: dict[str, float] | None, m
     end within r quanta of its start, so a segment's round follows from the queue's running total and all
     queues can be scheduled at once, over any number of partitions. When a queue is empty the others go on in
     their proportions. Segments are at most `segment` tokens long, so no document holds a window alone."""
-    table = queues(tokens, window, weights, most)
-    named = F.broadcast(table.where(F.col("queue") < most))
-    rest = table.where(F.col("queue") == most).first()
-    placed = tokens.join(named.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")), "left")
-    placed = placed.withColumns({"queue": F.coalesce("queue", F.lit(most)), "quantum": F.coalesce("quantum", F.lit(rest.quantum)), "mix": F.xxhash64("file", "place")}).drop("name")
+    placed = tokens.join(queues(tokens, window, weights), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
+    placed = placed.withColumn("mix", F.xxhash64("file", "place"))
     placed = placed.withColumn("bucket", F.shiftrightunsigned("mix", 64 - BUCKETS.bit_length() + 1))
     placed = placed.withColumn("mix", F.shiftrightunsigned("mix", 1))
     lined = running_start(placed, ["queue"], "bucket", ["mix", "file", "place"], "n_tokens", "queued")
@@ -86,7 +89,7 @@ def cut_points(start: int, end: int, window: int, tail: list[int], full: int) ->
     return out
 
 
-def pack(docs: DataFrame, path: str, window: int = 4096, weights: dict[str, float] | None = None, queues_at_most: int = 255, segment: int = 256, scratch: Scratch | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 4096, weights: dict[str, float] | None = None, segment: int = 256, scratch: Scratch | None = None) -> DataFrame:
     """One row for each piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id of every document (the end id included) lies in one piece; a sequence's pieces lie in it without
@@ -101,7 +104,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, weights: dict[str, floa
     tokens = scratch.keep(made, "tokens")
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     full, tail = total - total % window, tail_cuts(total, window)
-    sent = schedule(tokens, window, weights, queues_at_most, segment)
+    sent = schedule(tokens, window, weights, segment)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, ids = None, None
