@@ -47,7 +47,6 @@ def none(spark):
 
 def ids_of(name, text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
 
@@ -58,11 +57,29 @@ def plain(found):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_tokenizer(rows, name):
     pick = random.Random(5)
-    signs = [" ", "\n", "a", "B", "é", "́", ".", ",", "'s", "1", "\t", "　", "Σ", "<|endoftext|>"]
-    texts = [r[1] for r in rows] + ["".join(pick.choice(signs) for _ in range(20)) for _ in range(300)]
+    signs = [" ", "  ", "\n", "\r", "\t", "a", "B", "é", "É", "\u0301", "\u0338", ".", ",", "'s", "'LL", "'", "=", "<", "1", "²", "\u3000", "\xa0", "\x85", "\u2028", "Σ", "ς", "İ", "ı", "×", "÷", "ß", "ŉ", "가", "\U0001d4b3", "\u0345", "<|endoftext|>", "\x00", "_"]
+    texts = [r[1] for r in rows] + ["".join(pick.choice(signs) for _ in range(pick.randint(0, 20))) for _ in range(20000)]
     encode = tokenfiles.Encoder(public_tokenizers.path(name))
-    for text, found in zip(texts, encode(texts)):
-        assert np.frombuffer(found, encode.dtype).tolist() == ids_of(name, text).tolist(), text
+    plain = Tokenizer.from_file(public_tokenizers.path(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    for text, found, own in zip(texts, encode(texts), plain):
+        assert np.frombuffer(found, encode.dtype).tolist() == [*own.ids, 2], text
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_texts(tmp_path):
+    """Without a pre-tokenizer nothing may be cut: merges across blanks stay."""
+    from tokenizers import models
+
+    path = str(tmp_path / "merged.json")
+    Tokenizer(models.BPE({"a": 0, " ": 1, "a ": 2, "a a": 3}, [("a", " "), ("a ", "a")])).save(path)
+    assert np.frombuffer(tokenfiles.Encoder(path)(["a a"], 1)[0], "<u2").tolist() == [3, 1]
+
+
+def test_texts_longer_than_a_chunk(monkeypatch):
+    monkeypatch.setattr(tokenfiles.row_groups, "__defaults__", (50,))
+    import pyarrow as pa
+
+    column = pa.array(["word, " * 40, None, "", "a b", "c" * 70, "d"])
+    assert [len(g) for g in tokenfiles.row_groups(column)] == [1, 3, 1, 1]
 
 
 def test_token_files(docs, rows, none):
