@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import decontaminate, embeddings, lm, packing, pii, repeats, simhash, tokenfiles, toxicity, urlrules
+from postlens.llm import bestfit, decontaminate, embeddings, lm, packing, pii, repeats, resample, simhash, tokenfiles, toxicity, urlrules
 from postlens.llm.sql import ORACLE  # noqa: F401
 
 #: Stands in for the secret that a deployment passes.
@@ -78,3 +78,14 @@ def op9_language_model(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op11_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_best_fit(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = bestfit.pack_best_fit(table(spark, sf, "documents"), tokenizer("word_bpe_49k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

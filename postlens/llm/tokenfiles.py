@@ -213,7 +213,7 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def shard_writer(folder: str, path: str, columns: list[str]):
+def shard_writer(folder: str, path: str, columns: list[str], end_id: int = END_ID):
     """Per document: the given columns, n_tokens, and where its ids lie (file, place).
 
     A task writes one file under its own attempt's name; only rows of finished attempts name a file, so what a
@@ -228,7 +228,7 @@ def shard_writer(folder: str, path: str, columns: list[str]):
             for batch in batches:
                 counts = []
                 for group in row_groups(batch.column("text")):
-                    ids, sizes = encode.flat(group)
+                    ids, sizes = encode.flat(group, end_id)
                     out.write(ids)
                     counts.append(sizes)
                 counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
