@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import bestfit, decontaminate, embeddings, lm, packing, pii, repeats, resample, simhash, tokenfiles, toxicity, urlrules
+from postlens.llm import bestfit, decontaminate, embeddings, lm, packing, phrases, pii, repeats, resample, simhash, tokenfiles, toxicity, urlrules
 from postlens.llm.sql import ORACLE  # noqa: F401
 
 #: Stands in for the secret that a deployment passes.
@@ -85,6 +85,11 @@ def op11_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 @query
 def op13_best_fit(spark: SparkSession, sf: str) -> DataFrame:
     pieces = bestfit.pack_best_fit(table(spark, sf, "documents"), tokenizer("word_bpe_49k.json"))
