@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from postlens.operators import history, retention, sources as source_state, state
 from postlens.plans import views
-from postlens.schemas import INGEST_BATCHES, JOB_VERSIONS, struct
+from postlens.plans.collect import collect_run, cut
+from postlens.schemas import INGEST_BATCHES, JOB_VERSIONS, JOBS, TABLES, struct
 from postlens.session import shared_folder
 from postlens.sources.details import enrich_details
 from postlens.sources.registry import parse_board_c
-from postlens.sources.tables import Tables
-from postlens.streaming import ingest
+from postlens.sources.tables import Delta, Tables
+from postlens.streaming import ingest, presence
 
 from . import standins as st
 from .base import query, table, with_ctes
@@ -88,27 +90,25 @@ def latest_event_per_user(spark, sf):
     return history.latest_per(table(spark, sf, "events"), ["user_id"], ["event_id"], ["event_type", "value"])
 
 
-_PRESENCE_SQL = """WITH runs AS (SELECT day, row_number() OVER (ORDER BY day) AS no FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)),
-seen AS (SELECT DISTINCT user_id, no, day FROM events JOIN runs ON CAST(ts AS DATE) = day WHERE event_type = 'click'),
-gaps AS (SELECT *, coalesce(lead(no) OVER w - 1, (SELECT max(no) FROM runs)) - no AS absent, lead(no) OVER w IS NULL AS is_last FROM seen WINDOW w AS (PARTITION BY user_id ORDER BY no)),
-ends AS (SELECT *, coalesce(sum(CASE WHEN absent >= 2 OR is_last THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM gaps),
-isl AS (SELECT user_id, island, min(day) AS first_seen, max(day) AS last_seen, count(*) AS runs_seen, max(no) AS last_no, max(CASE WHEN absent >= 2 OR is_last THEN absent END) AS runs_absent FROM ends GROUP BY ALL)
-SELECT CAST(user_id AS VARCHAR) AS external_id, CAST(island AS BIGINT) AS island, CAST(first_seen AS VARCHAR) AS first_seen, CAST(last_seen AS VARCHAR) AS last_seen, runs_seen, runs_absent,
-  CAST(r.day AS VARCHAR) AS closed_at FROM isl LEFT JOIN runs r ON runs_absent >= 2 AND r.no = last_no + 2"""
+_PRESENCE_SQL = """WITH runs AS (SELECT event_type, day, row_number() OVER (PARTITION BY event_type ORDER BY day) AS no, count(*) OVER (PARTITION BY event_type) AS total
+  FROM (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events)),
+seen AS (SELECT DISTINCT e.event_type, user_id, no, day, total FROM events e JOIN runs r ON CAST(ts AS DATE) = day AND e.event_type = r.event_type),
+gaps AS (SELECT *, coalesce(lead(no) OVER w - 1, total) - no AS absent, lead(no) OVER w IS NULL AS is_last FROM seen WINDOW w AS (PARTITION BY event_type, user_id ORDER BY no)),
+ends AS (SELECT *, coalesce(sum(CASE WHEN absent >= 2 OR is_last THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, user_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM gaps),
+isl AS (SELECT event_type, user_id, island, min(day) AS first_seen, max(day) AS last_seen, count(*) AS runs_seen, max(no) AS last_no, max(CASE WHEN absent >= 2 OR is_last THEN absent END) AS runs_absent FROM ends GROUP BY ALL)
+SELECT isl.event_type AS source_id, CAST(user_id AS VARCHAR) AS external_id, CAST(island AS BIGINT) AS island, CAST(first_seen AS VARCHAR) AS first_seen, CAST(last_seen AS VARCHAR) AS last_seen, runs_seen, {absent}
+  CAST(r.day AS VARCHAR) AS closed_at FROM isl LEFT JOIN runs r ON runs_absent >= 2 AND r.no = last_no + 2 AND r.event_type = isl.event_type"""
 
 
-def _sightings(spark, sf):
-    events = table(spark, sf, "events").select("user_id", "event_type", F.to_date("ts").cast("string").alias("run_at"))
-    runs = events.select(F.lit("feed").alias("source_id"), "run_at")
-    seen = events.filter(F.col("event_type") == "click").select(
-        F.lit("feed").alias("source_id"), F.col("user_id").cast("string").alias("external_id"), "run_at"
-    )
-    return seen, runs
+def _sightings(events):
+    """Every event type is a source whose postings are its users; a day with an event of the type is a run."""
+    seen = events.select(F.col("event_type").alias("source_id"), F.col("user_id").cast("string").alias("external_id"), F.to_date("ts").cast("string").alias("run_at"))
+    return seen, seen.select("source_id", "run_at")
 
 
-@query("presence_history", _PRESENCE_SQL)
+@query("presence_history", _PRESENCE_SQL.replace("{absent}", "runs_absent,"))
 def presence_history(spark, sf):
-    return history.presence_history(*_sightings(spark, sf)).drop("source_id")
+    return history.presence_history(*_sightings(table(spark, sf, "events")))
 
 
 # Two overlapping parts of the whole table: an older state and a newer delta.
@@ -184,21 +184,23 @@ def user_actions_cleared(spark, sf):
     return state.clear_actions(st.actions(spark, sf), low).select("job_id", "action")
 
 
-# One disposition per source of the first twenty nations, covering the four outcomes.
+# One report for each source; those of the last nations are not decided yet.
 _DISP_SQL = """SELECT 'source_' || c_custkey AS source_id, CASE WHEN c_nationkey < 10 THEN 'complete' WHEN c_nationkey < 15 THEN 'retry' ELSE 'quarantine' END AS kind,
   CASE WHEN c_nationkey < 5 THEN 'healthy' WHEN c_nationkey < 12 THEN 'not_modified' ELSE 'failed' END AS status, 'run_1998' AS run_id,
   CASE WHEN c_acctbal > 2000 THEN 'run_1997' END AS stored_snapshot_run_id, CASE WHEN c_nationkey >= 18 THEN 2 ELSE 0 END AS stored_batches,
   c_nationkey BETWEEN 10 AND 11 AS bad_snapshot, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'e-new' END AS etag, CASE WHEN c_nationkey < 5 THEN sha256(c_name || '2') END AS content_fingerprint, c_custkey % 40 AS fetched_job_count
-FROM customer WHERE c_nationkey < 20"""
+FROM customer"""
 
 
 def _dispositions(spark, sf):
+    """Every report handed in twice, and for a third of the sources an older one that says something else."""
     n, key = F.col("c_nationkey"), F.col("c_custkey").cast("string")
     kind = F.when(n < 10, "complete").when(n < 15, "retry").otherwise("quarantine")
     reason = F.when(n >= 10, F.concat(F.lit("reason-"), n.cast("string")))
-    return table(spark, sf, "customer").filter(n < 20).select(
+    reports = table(spark, sf, "customer").select(
         F.concat(F.lit("source_"), key).alias("source_id"),
         F.lit("run_1998").alias("run_id"),
+        F.lit(2).alias("reported_at"),
         F.when(n < 5, "healthy").when(n < 12, "not_modified").otherwise("failed").alias("status"),
         F.struct(kind.alias("kind"), reason.alias("reason")).alias("disposition"),
         F.when(F.col("c_acctbal") > 2_000, "run_1997").alias("stored_snapshot_run_id"),
@@ -214,6 +216,9 @@ def _dispositions(spark, sf):
         F.when(n == 13, "boom").alias("error_message"),
         F.array(F.lit("s1"), F.lit("s2")).alias("signals"),
     )
+    older = reports.withColumns({"reported_at": F.lit(1), "status": F.lit("healthy"), "etag": F.lit("e-older"), "disposition": F.struct(
+        F.when(F.col("disposition.kind") == "complete", "retry").otherwise("complete").alias("kind"), F.lit("older").alias("reason"))})
+    return reports.unionByName(reports).unionByName(older.where(F.pmod(F.xxhash64("source_id"), F.lit(3)) == 0))
 
 
 _AGED = {
@@ -715,14 +720,188 @@ def _fresh(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _stored_versions(spark, sf):
+    """Two commits of the versions table: the older part, then what the newer observations add to it."""
+    tables = Tables(spark, _fresh(spark, "tables"), {"job_versions": JOB_VERSIONS})
+    rows = st.observations(spark, sf)
+    tables.replace("job_versions", history.build_versions(rows.filter(F.col("observed_at") < _OLD)))
+    at = tables.snapshot()
+    fresh = state.fresh_versions(at.read("job_versions"), rows.filter(F.col("observed_at") >= _OLD))
+    tables.commit({"job_versions": Delta(fresh, append=True)}, base=at.version)
+    return tables
+
+
 @query("stored_versions", with_ctes(ctes("observations", "versions"), "SELECT job_id, content_hash, snapshot_json, observed_at FROM versions"))
 def stored_versions(spark, sf):
     """State table round trip: an older commit, then one that adds the rest."""
-    tables = Tables(spark, _fresh(spark, "tables"), {"job_versions": JOB_VERSIONS})
-    rows = history.build_versions(st.observations(spark, sf))
-    tables.replace("job_versions", rows.filter(F.col("observed_at") < _OLD))
-    tables.replace("job_versions", state.append_versions(tables.read("job_versions"), rows.filter(F.col("observed_at") >= _OLD)))
-    return tables.read("job_versions")
+    return _stored_versions(spark, sf).read("job_versions")
+
+
+@query(
+    "older_versions",
+    with_ctes(
+        {**ctes("observations"), "old": f"SELECT * FROM observations WHERE observed_at < {_OLD}"},
+        "SELECT job_id, content_hash, min(observed_at) AS observed_at FROM old GROUP BY ALL",
+    ),
+)
+def older_versions(spark, sf):
+    """The version before the newest, read after the newest was published."""
+    tables = _stored_versions(spark, sf)
+    return tables.read("job_versions", tables.version() - 1).drop("snapshot_json")
+
+
+@query(
+    "stored_postings",
+    with_ctes(
+        {
+            **ctes("jobs"),
+            "old": f"SELECT * FROM jobs WHERE first_seen_at < {_OLD}",
+            "delta": f"SELECT * FROM jobs WHERE first_seen_at >= {_NEW}",
+        },
+        f"""SELECT coalesce(d.external_id, o.external_id) AS external_id, coalesce(d.source_id, o.source_id) AS source_id, coalesce(d.score + 1, o.score) AS score,
+  coalesce(o.first_seen_at, {NOW}) AS first_seen_at, CASE WHEN d.id IS NULL THEN o.updated_at ELSE {NOW} END AS updated_at
+FROM old o FULL JOIN delta d ON o.source_id = d.source_id AND o.external_id = d.external_id
+WHERE coalesce(d.score + 1, o.score) <> 50""",
+    ),
+)
+def stored_postings(spark, sf):
+    """Postings in keyed buckets: a delta takes the place of stored rows, then some keys go."""
+    tables = Tables(spark, _fresh(spark, "tables"), {"jobs": JOBS})
+    jobs = st.jobs(spark, sf)
+    tables.replace("jobs", jobs.filter(F.col("first_seen_at") < _OLD))
+    delta = jobs.filter(F.col("first_seen_at") >= _NEW).withColumns(
+        {"score": F.col("score") + 1, "run_id": F.lit("run_1999"), "fetched_at": _now()}
+    )
+    at = tables.snapshot()
+    merged = state.upsert_jobs(at.read("jobs"), state.incoming_jobs(delta, _now()), mark="touched")
+    tables.commit({"jobs": Delta(merged.filter("touched").drop("touched"))}, base=at.version)
+    stored = tables.read("jobs")
+    tables.commit({"jobs": Delta(stored.limit(0), gone=stored.where("score = 50"))})
+    return tables.read("jobs").select("external_id", "source_id", "score", "first_seen_at", "updated_at")
+
+
+_FEED_RUN = "run_feed"
+
+
+def _feed_state(spark, sf, kind, config="{}"):
+    """State over which a run is opened: every customer is a source of one kind that is due."""
+    sources = st.sources(spark, sf).withColumns(
+        {"kind": F.lit(kind), "config_json": F.lit(config), "status": F.lit("active"), "lease_owner": F.lit(None).cast("string"),
+         "lease_until": F.lit(None).cast("bigint"), "previous_job_count": F.lit(0).cast("bigint"), "content_fingerprint": F.lit(None).cast("string")}
+    )
+    empty = {name: spark.createDataFrame([], struct(ddl)) for name, ddl in TABLES.items()}
+    opened = source_state.open_run(sources, empty["source_runs"], empty["crawl_runs"], sources, _FEED_RUN, _now())
+    return {**empty, "companies": st.companies(spark, sf), **opened}
+
+
+def _feed_bodies(spark, sf):
+    """One response for each source with an order: its orders as postings of a board."""
+    key = F.col("o_orderkey").cast("string")
+    posting = F.struct(key.alias("id"), F.concat(F.lit("Order "), key, F.lit(" "), "o_orderpriority").alias("title"), F.concat(F.lit("https://o.example.com/"), key).alias("jobUrl"))
+    bodies = table(spark, sf, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.array_sort(F.collect_list(posting)).alias("jobs"))).alias("body"))
+    return bodies.select(
+        F.concat(F.lit("source_"), F.col("o_custkey").cast("string")).alias("source_id"), F.lit(_FEED_RUN).alias("run_id"), F.lit("list").alias("role"),
+        F.lit(200).alias("status"), F.lit("https://feeds.example.com").alias("url"), "body", F.lit("application/json").alias("content_type"),
+        *[F.lit(None).cast("string").alias(n) for n in ("etag", "last_modified")], F.lit(False).alias("not_modified"), _now().alias("fetched_at"),
+    )
+
+
+class _LostOnce(Tables):
+    """Tables whose second commit is lost after its data were written and before it was published."""
+
+    lost = 0
+
+    def commit(self, *args, **kwargs):
+        if self.lost == 0 and self.version() == 2:
+            self.files.create, create = self._lose, self.files.create
+            try:
+                return super().commit(*args, **kwargs)
+            finally:
+                self.files.create = create
+        return super().commit(*args, **kwargs)
+
+    def _lose(self, *_):
+        self.lost += 1
+        raise OSError("lost before the manifest")
+
+
+def _collected_stream(spark, sf):
+    """Responses landed in three parts and run through the whole collection, one micro-batch each. The second batch fails
+    between its data and its manifest; the stream is started again and replays it."""
+    root = _fresh(spark, "stream")
+    tables = _LostOnce(spark, f"{root}/tables", buckets=4)
+    tables.commit(_feed_state(spark, sf, "ashby"))
+    bodies = cut(_feed_bodies(spark, sf), "bodies")
+    for part in range(3):
+        bodies.where(F.pmod(F.xxhash64("source_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    landed = ingest.read_landed(spark, f"{root}/landed", maxFilesPerTrigger="1")
+    sink = ingest.ingest_sink(tables, _now)
+    try:
+        ingest.run_available(landed, sink, f"{root}/cp").awaitTermination()
+    except StreamingQueryException as e:
+        if not tables.lost:
+            raise e
+    ingest.run_available(landed, sink, f"{root}/cp").awaitTermination()
+    if tables.lost != 1 or tables.version() != 4:
+        raise RuntimeError(f"the failure did not take place: version {tables.version()}")
+    return tables
+
+
+@query(
+    "stream_collected_postings",
+    f"""SELECT 'source_' || o_custkey AS source_id, CAST(o_orderkey AS VARCHAR) AS external_id, 'Order ' || o_orderkey || ' ' || o_orderpriority AS title,
+  'https://o.example.com/' || o_orderkey AS canonical_url, '{_FEED_RUN}' AS last_seen_run_id, 'open' AS status, {NOW} AS first_seen_at FROM orders""",
+)
+def stream_collected_postings(spark, sf):
+    return _collected_stream(spark, sf).read("jobs").select("source_id", "external_id", "title", "canonical_url", "last_seen_run_id", "status", "first_seen_at")
+
+
+@query(
+    "stream_collected_sources",
+    f"""WITH n AS (SELECT 'source_' || o_custkey AS source_id, count(*) AS n FROM orders GROUP BY ALL)
+SELECT 'source_' || c_custkey AS source_id, coalesce(n, 0) AS previous_job_count, CASE WHEN n IS NULL THEN 'running' ELSE 'healthy' END AS run_status, n AS stored_jobs,
+  (SELECT count(*) FROM n) AS completed, CAST(0 AS BIGINT) AS failed
+FROM customer LEFT JOIN n ON n.source_id = 'source_' || c_custkey""",
+)
+def stream_collected_sources(spark, sf):
+    """What the same stream leaves in sources, source runs, the ledger and the run's counters."""
+    tables = _collected_stream(spark, sf).read_all()
+    runs = tables["source_runs"].select("source_id", F.col("status").alias("run_status"), "run_id")
+    run = tables["crawl_runs"].select(F.col("id").alias("run_id"), F.col("completed_source_count").alias("completed"), F.col("failed_source_count").alias("failed"))
+    batches = tables["ingest_batches"].select("source_id", F.col("job_count").alias("stored_jobs"))
+    sources = tables["sources"].select(F.col("id").alias("source_id"), "previous_job_count")
+    return sources.join(runs, "source_id").join(run, "run_id").join(batches, "source_id", "left").drop("run_id")
+
+
+_DETAIL_CONFIG = '{"listSelector":"li.job","titleSelector":"a","detailDescriptionSelector":"div.d"}'
+
+
+@query(
+    "collected_details",
+    """SELECT 'source_' || o_custkey AS source_id, CAST(o_orderkey AS VARCHAR) AS external_id,
+  CASE o_orderkey % 4 WHEN 0 THEN 'Detail ' || o_orderkey || ' & more' WHEN 3 THEN repeat('long ', 40) || 'text' ELSE '' END AS description,
+  CASE o_orderkey % 4 WHEN 1 THEN 'detail-selector-not-found:https://feeds.example.com/j/' || o_orderkey
+    WHEN 2 THEN 'detail-fetch-failed:https://feeds.example.com/j/' || o_orderkey || ':' || CASE WHEN o_orderkey % 8 = 2 THEN 'HTTP 500 for https://feeds.example.com/j/' || o_orderkey ELSE 'not landed' END END AS signal
+FROM orders""",
+)
+def collected_details(spark, sf):
+    """Lists and detail pages landed together in one run; a description that is long enough is not looked up."""
+    o, key = table(spark, sf, "orders"), F.col("o_orderkey").cast("string")
+    kind, url = F.col("o_orderkey") % 4, F.concat(F.lit("https://feeds.example.com/j/"), F.col("o_orderkey").cast("string"))
+    inline = F.when(kind == 3, F.concat(F.lit("<div class=d>"), F.repeat(F.lit("long "), 40), F.lit("text</div>"))).otherwise("")
+    card = F.concat(F.lit('<li class="job" data-id="'), key, F.lit('"><a href="/j/'), key, F.lit('">Order '), key, F.lit("</a>"), inline, F.lit("</li>"))
+    lists = o.groupBy("o_custkey").agg(F.concat(F.lit("<html><body><ul>"), F.array_join(F.array_sort(F.collect_list(card)), " "), F.lit("</ul>" + "<p>end of this list</p>" * 9 + "</body></html>")).alias("body"))
+    source = F.concat(F.lit("source_"), F.col("o_custkey").cast("string")).alias("source_id")
+    lists = lists.select(source, F.lit("list").alias("role"), F.lit(200).alias("status"), F.lit("https://feeds.example.com").alias("url"), "body")
+    body = F.when(kind == 1, F.lit("<p>nothing here</p>")).otherwise(F.concat(F.lit('<div class="d">Detail '), key, F.lit(" &amp; more</div>")))
+    details = o.where((kind != 2) | (F.col("o_orderkey") % 8 == 2)).select(
+        source, F.lit("detail").alias("role"), F.when(kind == 2, 500).otherwise(200).alias("status"), url.alias("url"), body.alias("body")
+    )
+    rest = [F.lit(_FEED_RUN).alias("run_id"), F.lit("text/html").alias("content_type"), *[F.lit(None).cast("string").alias(n) for n in ("etag", "last_modified")], F.lit(False).alias("not_modified"), _now().alias("fetched_at")]
+    result = collect_run(lists.unionByName(details).select("*", *rest), _feed_state(spark, sf, "static-html", _DETAIL_CONFIG), _now())
+    jobs = result.tables["jobs"].select("source_id", "external_id", F.col("description_text").alias("description"))
+    told = result.signals.where(F.col("signal").startswith("detail-")).select("source_id", F.regexp_extract("signal", r"/j/(\d+)", 1).alias("external_id"), "signal")
+    return jobs.join(told, ["source_id", "external_id"], "left")
 
 
 def _event_stream(spark, sf):
@@ -730,17 +909,26 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-@query("stream_presence", _PRESENCE_SQL)
+@query("stream_presence", _PRESENCE_SQL.replace("{absent}", ""))
 def stream_presence(spark, sf):
-    """Sightings collected by a file stream, then the same presence history."""
+    """Presence kept as state over four micro-batches; only islands that a batch changes are written."""
     root = _fresh(spark, "stream")
-    stream = _event_stream(spark, sf).select("user_id", "event_type", F.to_date("ts").cast("string").alias("run_at"))
-    ingest.run_available(stream, ingest.sightings_sink(f"{root}/seen", ["user_id", "event_type", "run_at"]), f"{root}/cp").awaitTermination()
-    stored = spark.read.schema("user_id bigint, event_type string, run_at string").parquet(f"{root}/seen").select(
-        F.lit("feed").alias("source_id"), F.col("user_id").cast("string").alias("external_id"), "event_type", "run_at"
-    )
-    seen = stored.filter(F.col("event_type") == "click").drop("event_type")
-    return history.presence_history(seen, stored.select("source_id", "run_at")).drop("source_id")
+    days = F.to_date("ts")
+    events = table(spark, sf, "events")
+    bounds = events.agg(F.min(days).alias("low"), F.max(days).alias("high")).first()
+    width = (bounds["high"] - bounds["low"]).days // 4 + 1 if bounds["low"] else 1
+    for part in range(4):
+        own = events.where(F.floor(F.datediff(days, F.lit(bounds["low"]).cast("date")) / width) == part)
+        # One file is one micro-batch; files are taken in the order in which they were written.
+        own.select("event_type", "user_id", "ts").coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    stream = spark.readStream.schema("event_type string, user_id bigint, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+    tables = Tables(spark, f"{root}/tables", {"presence": presence.PRESENCE}, {"presence": presence.PRESENCE_KEY})
+    presence.use_rocksdb(spark)
+    changes = presence.presence_changes(presence.presence_input(*_sightings(stream)))
+    sink = ingest.once(tables, "presence", presence.keep_presence())
+    query_ = changes.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return tables.read("presence")
 
 
 @query("stream_replays_dropped", with_ctes({"b": _BATCH_SQL}, "SELECT DISTINCT batch_id FROM b"))

@@ -26,11 +26,13 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], ordinal: str, tie: Sequence[
 
 
 def one_each(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """One row per key: the last by ``order``, then by a hash of the whole row, so repeats and ties are settled alike."""
+    """One row per key: the last by ``order``, then by a hash of the whole row, so repeats and ties are settled alike.
+
+    Rows are ranked before the shuffle as well, so copies of one key are few when they meet."""
     rest = [c for c in df.columns if c not in keys]
-    place = F.struct(*[F.col(c) for c in order], F.xxhash64(*[F.col(c) for c in rest]).alias("_hash"))
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("_row"))
-    return last.select(*[F.col("_row")[c].alias(c) if c in rest else F.col(c) for c in df.columns])
+    place = [*[F.col(c).desc_nulls_last() for c in order], F.xxhash64(*[F.col(c) for c in rest]).desc()]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*place))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def keep_latest(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions.text import blank_to_null, canonical_json, json_object, json_st
 from ..functions.values import next_due, retry_at
 from ..schemas import BROWSER_KIND, COMPANIES, CONFIG, CONFIG_TEXTS, CRAWL_RUNS, SOURCE_RUNS, SOURCES, struct
 from .history import one_each
-from .state import insert_ignore
+from .state import insert_ignore, last_dispositions
 
 SNAPSHOT = ("etag", "last_modified", "content_fingerprint", "snapshot_run_id")
 LEASE = ("lease_owner", "lease_until")
@@ -35,8 +35,8 @@ def _nulls(*names: str) -> dict[str, Column]:
 
 
 def advance_sources(sources: DataFrame, dispositions: DataFrame, now: Column) -> DataFrame:
-    """Apply one disposition per source: success, unchanged, retry or quarantine."""
-    d = dispositions.select(
+    """Apply one disposition per source, the last of several: success, unchanged, retry or quarantine."""
+    d = last_dispositions(dispositions).select(
         F.col("source_id").alias("id"),
         F.col("disposition")["kind"].alias("_kind"),
         F.col("status").alias("_status"),
@@ -77,6 +77,15 @@ def advance_sources(sources: DataFrame, dispositions: DataFrame, now: Column) ->
 
 def record_source_runs(source_runs: DataFrame, dispositions: DataFrame, now: Column) -> DataFrame:
     """Upsert the result of each (run, source)."""
+    rows = source_run_results(source_runs, dispositions, now)
+    rest = source_runs.join(dispositions.select("run_id", "source_id"), ["run_id", "source_id"], "left_anti")
+    return rest.select(*source_runs.columns).unionByName(rows)
+
+
+def source_run_results(source_runs: DataFrame, dispositions: DataFrame, now: Column) -> DataFrame:
+    """The source runs that dispositions change; of several dispositions of one (run, source) the last counts."""
+    key = ["run_id", "source_id"]
+    dispositions = last_dispositions(dispositions, key)
     kind = F.col("disposition")["kind"]
     done = kind == "complete"
     message = F.coalesce("error_message", F.array_join("signals", "; "))
@@ -89,8 +98,6 @@ def record_source_runs(source_runs: DataFrame, dispositions: DataFrame, now: Col
         F.when(~done, message).alias("_message"),
         done.alias("_done"),
     )
-    key = ["run_id", "source_id"]
-    rest = source_runs.join(result.select(*key), key, "left_anti")
     known = source_runs.select(
         *key, F.col("id").alias("_id"), F.col("started_at").alias("_started"),
         F.struct("error_code", "error_message").alias("_old"),
@@ -106,11 +113,12 @@ def record_source_runs(source_runs: DataFrame, dispositions: DataFrame, now: Col
         "completed_at": now,
     }
     shaped = [fields.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in struct(SOURCE_RUNS)]
-    return rest.select(*source_runs.columns).unionByName(rows.select(*shaped))
+    return rows.select(*shaped)
 
 
 def run_counters(dispositions: DataFrame) -> DataFrame:
-    """Completed and failed sources per run."""
+    """Completed and failed sources per run, each source once."""
+    dispositions = last_dispositions(dispositions, ["run_id", "source_id"])
     done = F.col("disposition")["kind"] == "complete"
     return dispositions.groupBy("run_id").agg(
         F.count_if(done).alias("completed_source_count"), F.count_if(~done).alias("failed_source_count")

@@ -19,16 +19,28 @@ from .joins import join_salted
 CLOSE_AFTER = 2
 
 
-def insert_ignore(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
-    """Append delta rows whose key is not stored yet; of equal delta keys one (the first by order) stays."""
+def not_stored(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
+    """Delta rows whose key is not stored yet; of equal delta keys one (the first by order) stays."""
     if order is None:
         fresh = one_each(delta, keys)
     else:
         rest = [c for c in delta.columns if c not in keys]
         firsts = delta.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
         fresh = firsts.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
-    fresh = fresh.join(base.select(*keys), list(keys), "left_anti")
-    return base.unionByName(fresh.select(*base.columns))
+    return fresh.join(base.select(*keys), list(keys), "left_anti").select(*base.columns)
+
+
+def insert_ignore(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
+    """The stored rows and the delta rows whose key is not stored yet."""
+    return base.unionByName(not_stored(base, delta, keys, order))
+
+
+def last_dispositions(dispositions: DataFrame, key: Sequence[str] = ("source_id",)) -> DataFrame:
+    """One disposition per key, the last of several: by ``reported_at`` where they have it, then by run.
+
+    Reports may be handed in twice or contradict each other; changes of state follow one of them."""
+    rest = [c for c in ("reported_at", "run_id") if c in dispositions.columns and c not in key]
+    return one_each(dispositions, list(key), rest)
 
 
 def incoming_jobs(postings: DataFrame, now: Column) -> DataFrame:
@@ -50,15 +62,16 @@ def incoming_jobs(postings: DataFrame, now: Column) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in struct(JOBS)])
 
 
-def upsert_jobs(jobs: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_jobs(jobs: DataFrame, incoming: DataFrame, mark: str | None = None) -> DataFrame:
     """Refresh or add postings by (source_id, external_id).
 
     Identity and first sighting of a known posting stay; absence is reset and it reopens. Of
     several sightings of one posting the last counts, so a delta may be handed in twice.
+    ``mark`` names a column that tells the refreshed and added rows from the rest.
     """
     key = ["source_id", "external_id"]
-    incoming = one_each(incoming, key, ["last_seen_at", "content_hash"])
     untouched = jobs.join(incoming.select(*key), key, "left_anti")
+    incoming = one_each(incoming, key, ["last_seen_at", "content_hash"])
     kept = jobs.select(
         *key, F.col("id").alias("_id"), F.col("first_seen_at").alias("_first"), F.col("created_at").alias("_created")
     )
@@ -69,7 +82,8 @@ def upsert_jobs(jobs: DataFrame, incoming: DataFrame) -> DataFrame:
             "created_at": F.coalesce("_created", "created_at"),
         }
     )
-    return untouched.select(*jobs.columns).unionByName(touched.select(*jobs.columns))
+    marks = [[F.lit(hit).alias(mark)] if mark else [] for hit in (False, True)]
+    return untouched.select(*jobs.columns, *marks[0]).unionByName(touched.select(*jobs.columns, *marks[1]))
 
 
 def version_rows(postings: DataFrame) -> DataFrame:
@@ -83,7 +97,12 @@ def version_rows(postings: DataFrame) -> DataFrame:
 
 def append_versions(versions: DataFrame, observations: DataFrame) -> DataFrame:
     """Add contents not stored yet; returning to an old content adds nothing."""
-    return insert_ignore(versions, build_versions(observations), ["job_id", "content_hash"])
+    return versions.unionByName(fresh_versions(versions, observations))
+
+
+def fresh_versions(versions: DataFrame, observations: DataFrame) -> DataFrame:
+    """The first observation of each content that is not stored."""
+    return build_versions(observations).join(versions.select("job_id", "content_hash"), ["job_id", "content_hash"], "left_anti").select(*versions.columns)
 
 
 def set_actions(actions: DataFrame, changes: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
@@ -104,7 +123,10 @@ def clear_actions(actions: DataFrame, job_ids: DataFrame) -> DataFrame:
 
 
 def presence_baseline(dispositions: DataFrame) -> DataFrame:
-    """Per completed source the run whose postings count as present; no other source ages postings."""
+    """Per completed source the run whose postings count as present; no other source ages postings.
+
+    Of several dispositions of one source the last counts."""
+    dispositions = last_dispositions(dispositions)
     complete = F.col("disposition")["kind"] == "complete"
     baseline = F.when(F.col("status") == "healthy", F.col("run_id")).when(
         F.col("status") == "not_modified", F.col("stored_snapshot_run_id")
@@ -126,8 +148,10 @@ def _absent() -> Column:
     )
 
 
-def age_missing(jobs: DataFrame, dispositions: DataFrame, now: Column) -> DataFrame:
-    """Count one more absence for postings not in the reference run; the second one closes them."""
+def age_missing(jobs: DataFrame, dispositions: DataFrame, now: Column, mark: str | None = None) -> DataFrame:
+    """Count one more absence for postings not in the reference run; the second one closes them.
+
+    ``mark`` names a column of the postings that becomes true for those that were aged."""
     rows = join_salted(jobs, presence_baseline(dispositions), ["source_id"], ["id"], "left").withColumn("_aged", _absent())
     closes = F.col("_aged") & (F.col("missing_count") + 1 >= CLOSE_AFTER)
     changed = {
@@ -136,6 +160,8 @@ def age_missing(jobs: DataFrame, dispositions: DataFrame, now: Column) -> DataFr
         "closed_at": F.when(closes, now).otherwise(F.col("closed_at")),
         "updated_at": F.when(F.col("_aged"), now).otherwise(F.col("updated_at")),
     }
+    if mark:
+        changed[mark] = F.col(mark) | F.col("_aged")
     return rows.select(*[changed.get(c, F.col(c)).alias(c) for c in jobs.columns])
 
 

@@ -108,6 +108,18 @@ TABLES = {
     "ingest_batches": INGEST_BATCHES,
 }
 
+# What identifies a row of each table.
+KEYS = {
+    "companies": ("id",),
+    "sources": ("id",),
+    "crawl_runs": ("id",),
+    "source_runs": ("source_id", "run_id"),
+    "jobs": ("source_id", "external_id"),
+    "job_versions": ("job_id", "content_hash"),
+    "job_actions": ("job_id",),
+    "ingest_batches": ("batch_id",),
+}
+
 
 def struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
