@@ -16,34 +16,36 @@ from postlens.llm.tokenfiles import row_groups, text_bytes
 
 by_value(__name__)
 
-#: ASCII letters, once lowered, digits, and all that is not ASCII.
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-SENTINEL = b"\n"
+#: Stands before each text of a batch; no byte of UTF-8 text is like it.
+SENTINEL = b"\xff"
+#: A word (ASCII letters, once lowered, digits, and all that is not ASCII) or a sentinel.
+TOKEN = re.compile(rb"[0-9a-z\x80-\xfe]+|\xff")
+WORD = re.compile(rb"[0-9a-z\x80-\xfe]+")
 BUCKETS, ORDER = 10_000, 3
 #: Bytes of text that one regular expression passes over at a time.
 BATCH = 1 << 20
 
 
-def segments(column: pa.Array, context: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, int]]:
-    """Joined texts of about BATCH bytes: (bytes, where each text begins, its row, words of context before the first).
+def segments(column: pa.Array, context: int) -> Iterator[tuple[bytes, np.ndarray, int]]:
+    """Joined texts of about BATCH bytes: (bytes, row of each text, words of context before the first).
 
-    The texts of a batch are joined with a sentinel that no word holds. A text longer than a batch comes in parts that end
-    between words; each part after the first begins with the last words of the part before it, as context."""
+    A text longer than a batch comes in parts that end between words; each part after the first begins with the last
+    words of the part before it, as context."""
     at = 0
     for group in row_groups(column, BATCH):
         data, offsets = text_bytes(group)
         raw = data.tobytes().lower()
         if len(group) > 1 or len(raw) <= BATCH:
             cuts = offsets.tolist()
-            yield SENTINEL.join([raw[a:b] for a, b in zip(cuts, cuts[1:])]), offsets[:-1] + np.arange(len(group)), at + np.arange(len(group)), 0
+            yield SENTINEL + SENTINEL.join([raw[a:b] for a, b in zip(cuts, cuts[1:])]), at + np.arange(len(group)), 0
         else:
             start, carried = 0, []
             while start < len(raw):
                 stop = start + BATCH
                 while stop < len(raw) and WORD.match(raw, stop):
                     stop += 1
-                part = SENTINEL.join([*carried, raw[start:stop]])
-                yield part, np.zeros(1, np.int64), np.array([at]), len(carried)
+                part = b"\n".join([*carried, raw[start:stop]])
+                yield SENTINEL + part, np.array([at]), len(carried)
                 carried, start = last_words(part, context), stop
         at += len(group)
 
@@ -66,25 +68,31 @@ def last_words(text: bytes, n: int) -> list[bytes]:
 def features(column: pa.Array, order: int = ORDER, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of each word that is no context, row of each n-gram, bucket of each n-gram) for each batch of joined texts.
 
-    One pass of a regular expression finds the words of all texts; the texts' offsets tell which word is whose, and an n-gram
-    whose first and last word have not the same text is masked. A bucket is the CRC-32 of the n-gram's bytes, one blank between
-    words, modulo the number of buckets; that of n words is continued from that of the n - 1 before."""
-    for text, begins, rows, context in segments(column, order - 1):
-        spans = np.fromiter((x for m in WORD.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
-        if not len(spans):
-            continue
-        words = [text[a:b] for a, b in spans.tolist()]
-        owner = np.searchsorted(begins, spans[:, 0], "right") - 1
-        following = [b"\x20" + w for w in words]
-        crcs = list(map(zlib.crc32, words))
-        own, codes = [rows[owner[context:]]], [np.array(crcs[context:], np.int64)]
-        for n in range(1, min(order, len(words))):
+    One pass of a regular expression finds the words of all texts and the sentinels between them, whose places are the texts'
+    offsets: a search among them tells which word is whose and the how manieth, and an n-gram that would begin before its
+    text is masked. A bucket is the CRC-32 of the n-gram's bytes, one blank between words, modulo the number of buckets;
+    that of n words is continued from that of the n - 1 before."""
+    for text, rows, context in segments(column, order - 1):
+        tokens = TOKEN.findall(text)
+        begins, at = np.empty(len(rows), np.int64), -1
+        for i in range(len(rows)):
+            begins[i] = at = tokens.index(SENTINEL, at + 1)
+        place = np.arange(len(tokens))
+        owner = np.searchsorted(begins, place, "right") - 1
+        place -= begins[owner] + 1
+        # Those that end within the context were counted before.
+        least = np.where(owner == 0, context, 0)
+        of = rows[owner]
+        following = [b"\x20" + w for w in tokens]
+        crcs = list(map(zlib.crc32, tokens))
+        kept = place >= least
+        words, own, codes = of[kept], [of[kept]], [np.array(crcs, np.int64)[kept]]
+        for n in range(1, min(order, len(tokens))):
             crcs = list(map(zlib.crc32, following[n:], crcs))
-            # The n-gram that ends with word i + n; those that end within the context were counted before.
-            kept = (owner[n:] == owner[: len(owner) - n]) & (np.arange(n, len(owner)) >= context)
-            own.append(rows[owner[n:][kept]])
+            kept = place[n:] >= np.maximum(n, least[n:])
+            own.append(of[n:][kept])
             codes.append(np.array(crcs, np.int64)[kept])
-        yield own[0], np.concatenate(own), np.concatenate(codes) % buckets
+        yield words, np.concatenate(own), np.concatenate(codes) % buckets
 
 
 def bucket_counts(docs: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> np.ndarray:
