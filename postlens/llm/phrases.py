@@ -7,17 +7,21 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from postlens.llm.shared import Scratch, by_value, numbered
+from postlens.llm.shared import Scratch, by_value
 from postlens.llm.tokenfiles import row_groups, text_bytes
 from postlens.llm.trie import Trie
 
 by_value(__name__)
 
 #: Candidates of one trie, which is broadcast; more of them go into further tries and passes.
-SHARD = 1 << 19
+SHARD = 1 << 20
+#: Bits of the filter of frequent phrases, a whole number of Spark's bitmaps.
+FILTER = 1 << 23
+MIX = 1_000_003
 #: A byte of a word, a blank between words, the end of a piece.
 WORD, BLANK, END = 0, 1, 2
 KINDS = bytes(END if b in b".,;:!?\n\x0b\x0c\r" else BLANK if b in b" \t" else WORD for b in range(256))
@@ -50,13 +54,32 @@ def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         table = pa.Table.from_batches([batch])
         for lang in table.column("lang").unique().to_pylist():
-            texts = table.filter(pa.compute.equal(table.column("lang"), lang)).column("text").combine_chunks()
+            texts = table.filter(pc.equal(table.column("lang"), lang)).column("text").combine_chunks()
             for group in row_groups(texts):
                 numbers, words = word_numbers(group)
                 counts = np.bincount(numbers, minlength=len(words) + 1)[1:]
-                row = [[f"{task}-{made}"], [lang], [words.to_pylist()], [counts], [numbers.tobytes()]]
+                row = [[(task << 32) + made], [lang], [words.to_pylist()], [counts], [numbers.tobytes()]]
                 made += 1
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()])], names=["block", "lang", "words", "counts", "numbers"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()])], names=["block", "lang", "words", "counts", "numbers"])
+
+
+def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the words of a task, whose rows come word by word: part, local (from 0), and whether a row is a word's first."""
+    part, local, last = TaskContext.get().partitionId(), -1, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        lang, word = (table.column(c).combine_chunks() for c in ("lang", "word"))
+        first = np.ones(len(word), bool)
+        same = pc.and_(pc.equal(lang[1:], lang[:-1]), pc.equal(word[1:], word[:-1]))
+        first[1:] = ~same.to_numpy(zero_copy_only=False)
+        first[0] = (lang[0].as_py(), word[0].as_py()) != last
+        last = (lang[-1].as_py(), word[-1].as_py())
+        numbers = local + np.cumsum(first)
+        local = int(numbers[-1])
+        made = [pa.array(np.full(len(first), part)), pa.array(numbers), pa.array(first)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "part", "local", "first"])
 
 
 def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,41 +93,59 @@ def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = own[np.frombuffer(numbers, np.int32)]
             known = np.concatenate([[False], found > 0, [False]])
             beside = known[1:-1] & (known[:-2] | known[2:])
-            last = np.append(beside[1:], False) < beside
-            kept = np.where(beside, found, 0)[beside | np.append(False, last[:-1])[: len(beside)]]
-            out.append(kept.astype(np.int32).tobytes())
+            # A 0 stays behind each run of words that stay.
+            stays = beside.copy()
+            stays[1:] |= beside[:-1]
+            out.append(np.where(beside, found, 0)[stays].astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
 
 def phrase_rows(rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     n, length = rows.shape
-    edges = pa.array(np.arange(0, n * length + 1, length, dtype=np.int32) if length else np.zeros(n + 1, np.int32))
+    edges = pa.array(np.arange(n + 1, dtype=np.int32) * length)
     return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(edges, pa.array(rows.ravel().astype(np.int32))), pa.array(counts.astype(np.int64))], names=["ids", "f"])
 
 
 def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbouring frequent words with their counts in each block."""
+    """Neighbouring frequent words, both in one number, with their counts in each block."""
     for raw in (x for b in batches for x in b.column(0).to_pylist()):
         ids = np.frombuffer(raw, np.int32).astype(np.int64)
         keys = (ids[:-1] << 32 | ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0)]
         found, n = np.unique(keys, return_counts=True)
-        yield phrase_rows(np.stack([found >> 32, found & 0xFFFFFFFF], 1), n)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["pair", "f"])
+
+
+def phrase_filter(phrases: DataFrame) -> np.ndarray:
+    """FILTER bits, those of the given phrases set; its size is fixed, so it is broadcast with each trie."""
+    # Spark's bitmaps begin at 1.
+    at = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: (a * MIX + x) % FILTER) + 1
+    rows = phrases.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(FILTER // 8, np.uint8)
+    for r in rows:
+        out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
 def longer(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases of a trie with the frequent word behind them, each once a block."""
-    trie = sent.value
+    """The phrases of a trie with the frequent word behind them, each once a block, where the words without the first
+    are a frequent phrase by the filter."""
+    trie, known = sent.value
+    known = np.unpackbits(known, bitorder="little").view(bool)
     for raw in (x for b in batches for x in b.column(0).to_pylist()):
-        ids = np.frombuffer(raw, np.int32)
+        ids = np.append(np.frombuffer(raw, np.int32), np.zeros(trie.length, np.int32))
         at, row = trie.find(ids)
-        following = np.append(ids, np.zeros(trie.length, np.int32))[at + trie.length]
-        keys = np.unique((row.astype(np.int64) << 32 | following)[following > 0])
+        at, row = at[ids[at + trie.length] > 0], row[ids[at + trie.length] > 0]
+        mixed = np.zeros(len(at), np.int64)
+        for j in range(1, trie.length + 1):
+            mixed = (mixed * MIX + ids[at + j]) % FILTER
+        safe = known[mixed]
+        keys = np.unique(row[safe].astype(np.int64) << 32 | ids[at[safe] + trie.length])
         yield phrase_rows(np.column_stack([trie.rows[keys >> 32], keys & 0xFFFFFFFF]), np.zeros(len(keys)))
 
 
 def count_accepted(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each phrase of a trie stands in the task's blocks."""
-    trie = sent.value
+    trie, _ = sent.value
     total = np.zeros(len(trie.rows), np.int64)
     for raw in (x for b in batches for x in b.column(0).to_pylist()):
         _, row = trie.find(np.frombuffer(raw, np.int32))
@@ -113,8 +154,8 @@ def count_accepted(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     yield phrase_rows(trie.rows[at], total[at])
 
 
-def over_tries(corpus: DataFrame, phrases: DataFrame, n: int, digits: int, length: int, scan) -> DataFrame:
-    """`scan` of the corpus for the tries of all `phrases`, at most SHARD of them in each trie.
+def over_tries(corpus: DataFrame, phrases: DataFrame, n: int, digits: int, length: int, scan, known: np.ndarray | None = None) -> DataFrame:
+    """`scan` of the corpus for the tries of all `phrases`, about SHARD of them at most in each trie, and the filter `known`.
 
     The driver holds the phrases of one trie at a time."""
     spark, shards, out = corpus.sparkSession, -(-n // SHARD), []
@@ -122,7 +163,7 @@ def over_tries(corpus: DataFrame, phrases: DataFrame, n: int, digits: int, lengt
         own = phrases.where(F.pmod(F.hash("ids"), F.lit(shards)) == shard) if shards > 1 else phrases
         found = own.select("ids").toArrow().column(0).combine_chunks()
         rows = found.flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(-1, length)
-        sent = spark.sparkContext.broadcast(Trie(rows, digits))
+        sent = spark.sparkContext.broadcast((Trie(rows, digits), known))
         out.append(corpus.mapInArrow(lambda batches, sent=sent: scan(sent, batches), "ids array<int>, f long"))
     return reduce(DataFrame.unionAll, out)
 
@@ -132,38 +173,49 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, scratch: Scratch
 
     Words and pairs are counted block by block and summed: no set of pairs that Apriori rules allow is smaller than all
     pairs of frequent words. From three words on, candidates are the phrases that occur and whose first and last words
-    but one are frequent phrases themselves; tries of them are broadcast and count all texts."""
+    but one are frequent phrases themselves (the last ones by a filter, which may let others pass but holds none of
+    them back); tries of them are broadcast and count all texts."""
     spark = docs.sparkSession
     columns = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = scratch.keep(columns.mapInArrow(to_blocks, "block string, lang string, words array<string>, counts array<long>, numbers binary"), "blocks")
-    seen = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "of")).select("block", "lang", "at", "of.*")
-    counted = scratch.keep(seen.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")), "words")
-    totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = numbered(counted.where(F.col("f") >= least), "id", scratch)
-    n_words = words.count()
-    digits = max(1, -(-int(n_words + 1).bit_length() // 8))
-    known = seen.join(words.select("lang", F.col("word").alias("words"), "id"), ["lang", "words"])
-    known = known.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list(F.col("id").cast("int")).alias("ids"))
+    blocks = scratch.keep(columns.mapInArrow(to_blocks, "block long, lang string, words array<string>, counts array<long>, numbers binary"), "blocks", compression="zstd")
+    totals = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    seen = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "of"))
+    word = F.col("of.words").alias("word")
+    # A word's rows are at most one for each block.
+    counted = seen.select("block", "lang", "at", word, F.sum("of.counts").over(Window.partitionBy("lang", "of.words")).alias("f"))
+    numbered = counted.where(F.col("f") >= least).mapInArrow(number_words, "block long, lang string, at int, word string, f long, part long, local long, first boolean")
+    numbered = scratch.keep(numbered, "numbered")
+    sizes = dict(tuple(r) for r in numbered.groupBy("part").agg(F.max("local") + 1).collect())
+    bases, n_words = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        bases.append(n_words)
+        n_words += sizes.get(part, 0)
+    numbered = numbered.withColumn("id", (F.element_at(F.lit(bases), (F.col("part") + 1).cast("int")) + F.col("local") + 1).cast("int"))
+    words = numbered.where("first").select("lang", "word", "f", "id")
+    digits = max(1, -(-n_words.bit_length() // 8))
+    known = numbered.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("ids"))
     corpus = blocks.select("block", "numbers", F.size("words").alias("size")).join(known, "block")
-    corpus = scratch.keep(corpus.mapInArrow(renumber, "ids binary"), "corpus")
+    corpus = scratch.keep(corpus.mapInArrow(renumber, "ids binary"), "corpus", compression="zstd")
+    totals = scratch.keep(totals, "totals")
     scratch.drop("blocks")
-    tables = [words.select(F.array(F.col("id").cast("int")).alias("ids"), "f")]
-    frequent = F.sum("f") >= least
+    tables = [words.select(F.array("id").alias("ids"), "f")]
+    frequent = F.col("f") >= least
     for length in range(2, longest + 1):
         if length == 2:
-            found = corpus.mapInArrow(pairs, "ids array<int>, f long")
+            found = corpus.mapInArrow(pairs, "pair long, f long").groupBy("pair").agg(F.sum("f").alias("f")).where(frequent)
+            halves = F.array(F.shiftright("pair", 32).cast("int"), F.col("pair").bitwiseAND(0xFFFFFFFF).cast("int"))
+            found = found.select(halves.alias("ids"), "f")
         else:
             shorter, n = tables[-1], tables[-1].count()
             if not n:
                 break
-            seen_once = over_tries(corpus, shorter, n, digits, length - 1, longer).select("ids").distinct()
-            ends = shorter.select(F.col("ids").alias("end"))
-            candidates = scratch.keep(seen_once.join(ends, F.slice("ids", 2, length - 1) == F.col("end"), "left_semi"), f"candidates{length}")
+            candidates = over_tries(corpus, shorter, n, digits, length - 1, longer, phrase_filter(shorter)).select("ids").distinct()
+            candidates = scratch.keep(candidates, f"candidates{length}")
             n = candidates.count()
             if not n:
                 break
-            found = over_tries(corpus, candidates, n, digits, length, count_accepted)
-        tables.append(scratch.keep(found.groupBy("ids").agg(F.sum("f").alias("f")).where(F.col("f") >= least), f"phrases{length}"))
+            found = over_tries(corpus, candidates, n, digits, length, count_accepted).groupBy("ids").agg(F.sum("f").alias("f")).where(frequent)
+        tables.append(scratch.keep(found, f"phrases{length}"))
     return totals, words, scratch.keep(reduce(DataFrame.unionAll, tables), "phrases")
 
 
@@ -187,7 +239,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     cut = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), size - 1)))
     cut = cut.withColumns({"head": F.slice("ids", F.lit(1), F.col("k")), "tail": F.slice("ids", F.col("k") + 1, size - F.col("k"))})
     cut = cut.join(phrases.select(F.col("ids").alias("head"), F.col("f").alias("l")), "head").join(phrases.select(F.col("ids").alias("tail"), F.col("f").alias("r")), "tail")
-    lang = words.select(F.col("id").cast("int").alias("first"), "lang").join(totals, "lang")
+    lang = words.select(F.col("id").alias("first"), "lang").join(totals, "lang")
     cut = cut.withColumn("first", F.element_at("ids", 1)).join(lang, "first")
     whole = lambda c: F.col(c).cast("decimal(19,0)")
     cut = cut.withColumns({"above": whole("f") * whole("n") * F.lit(1000).cast("decimal(4,0)"), "below": whole("l") * whole("r")}).withColumn("score", F.expr("above div below"))
@@ -195,7 +247,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     around = candidates.where(size > 2).select(F.explode(F.array(F.slice("ids", F.lit(1), size - 1), F.slice("ids", F.lit(2), size - 1))).alias("ids"), "f")
     around = around.groupBy("ids").agg(F.max("f").alias("longer"))
     kept = best.join(around, "ids", "left").where(F.coalesce(100 * F.col("longer") < held_per_cent * F.col("f"), F.lit(True)))
-    spelled = kept.select("ids", F.posexplode("ids").alias("at", "id")).join(words.select(F.col("id").cast("int").alias("id"), "word"), "id")
+    spelled = kept.select("ids", F.posexplode("ids").alias("at", "id")).join(words.select("id", "word"), "id")
     spelled = spelled.groupBy("ids").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"])).alias("phrase"))
     named = kept.join(spelled, "ids").select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "n", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

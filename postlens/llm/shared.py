@@ -38,8 +38,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        df.write.mode("overwrite").options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -76,18 +76,6 @@ def running_start(df: DataFrame, parts: list[str], block: str, order: list[str],
     return inner.join(bases, [*parts, block]).withColumn(out, F.col("_base") + F.col("_inner")).drop("_base", "_inner")
 
 
-def numbered(df: DataFrame, name: str, scratch: Scratch) -> DataFrame:
-    """Add the numbers 1, 2, 3 to the rows, in no stated order.
-
-    Rows are numbered within their partition as they are written; the sizes of the partitions, one number each, give the rest."""
-    kept = scratch.keep(df.withColumn("_at", F.monotonically_increasing_id()), f"numbered-{name}")
-    kept = kept.withColumns({"_part": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND((1 << 33) - 1)})
-    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return kept.join(bases, "_part").withColumn(name, F.col("_base") + F.col("_nth") + 1).drop("_at", "_part", "_nth", "_base")
-
-
 def bound(df: DataFrame, **columns) -> DataFrame:
     """Add columns whose values are computed once a row. The optimizer would else copy an expression to where it
     is used, and one used inside a lambda would run for each element."""
