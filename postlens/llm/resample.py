@@ -170,5 +170,6 @@ def resample(docs: DataFrame, target: DataFrame, per_cent: int = 5, least_words:
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 256)
     h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / 4294967296.0)))
-    scored = weighted(docs, gains).withColumn("score", F.col("weight") + noise)
+    # Dealing rows by ranges looks at them twice: once for the ranges, once for the rows.
+    scored = scratch.keep(weighted(docs, gains).withColumn("score", F.col("weight") + noise), "scored")
     return drawn(scored, per_cent, least_words, scratch)
