@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postlens.llm.shared import by_value, worker_cache
+from postlens.llm.shared import Scratch, by_value, worker_cache
 
 by_value(__name__)
 
@@ -18,6 +18,8 @@ TERM = re.compile(r"[^\W\d_]+")
 SPACE = 1 << 30
 STEMS = (4, 5)
 FREQUENT = 200
+#: Terms of a model; their places fit into two bytes.
+SIZE = 2048
 REMEMBERED = 400_000
 THRESHOLD = 0.3
 
@@ -84,15 +86,22 @@ def find_places(terms: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(known), place[known]
 
 
-def train(ids: list[np.ndarray], labels: np.ndarray, size: int = 2048, rank: int = 8, epochs: int = 20, batch: int = 512, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
-    """Fit by AdaGrad on the logistic loss, in batches whose order is fixed by the seed."""
+def train(ids: list[np.ndarray], labels: np.ndarray, size: int = SIZE, **settings) -> FactorizationMachine:
+    """Choose terms from the term hashes of each text and fit a machine on them."""
     labels = np.asarray(labels, float)
-    prior = (labels.sum() + 0.5) / (len(labels) + 10)
-    none = np.zeros(0)
     if not len(ids) or not sum(map(len, ids)):
-        return FactorizationMachine(none.astype(np.uint32), float(np.log(prior / (1 - prior))), none, np.zeros((0, rank)))
+        return learn(np.zeros(0, np.uint32), [], labels, **settings)
     terms = choose_terms(ids, labels, size)
-    places = [find_places(terms, x)[1] for x in ids]
+    return learn(terms, [find_places(terms, x)[1] for x in ids], labels, **settings)
+
+
+def learn(terms: np.ndarray, places: list[np.ndarray], labels: np.ndarray, rank: int = 8, epochs: int = 20, batch: int = 512, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
+    """Fit by AdaGrad on the logistic loss, in batches whose order is fixed by the seed. `places`: where the terms of each
+    text stand among `terms`."""
+    labels = np.asarray(labels, float)
+    prior = (labels.sum() + 0.5) / (len(labels) + 10)
+    if not len(terms):
+        return FactorizationMachine(terms, float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, rank)))
     draw = np.random.default_rng(seed)
     fm = FactorizationMachine(terms, float(np.log(prior / (1 - prior))), np.zeros(len(terms)), draw.normal(0, 0.02, (len(terms), rank)))
     seen_w, seen_v, seen_b = np.full(len(terms), 1e-6), np.full((len(terms), rank), 1e-6), 1e-6
@@ -125,23 +134,54 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **settings) -> FactorizationMachine:
+def chosen_terms(texts: DataFrame, size: int) -> np.ndarray:
+    """`choose_terms` as an aggregation: terms are counted by label in Spark and only the chosen ones reach the driver.
+
+    `texts` has toxic and ids, the sorted term hashes of a text."""
+    n, p = texts.agg(F.count("*"), F.sum("toxic")).first()
+    if not n:
+        return np.zeros(0, np.uint32)
+    counts = texts.select("toxic", F.explode("ids").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("seen"), F.sum("toxic").cast("double").alias("hit"))
+    seen, hit, n, p = F.col("seen"), F.col("hit"), float(n), float(p)
+
+    def cell(observed: Column, expected: Column) -> Column:
+        return observed * F.log(F.greatest(observed, F.lit(1e-9)) / F.greatest(expected, F.lit(1e-9)))
+
+    gain = cell(hit, seen * p / n) + cell(seen - hit, seen * (n - p) / n) + cell(p - hit, (n - seen) * p / n) + cell(n - seen - p + hit, (n - seen) * (n - p) / n)
+    terms = counts.count()
+    sure = (F.col("gain") > float(np.log(max(terms, 1)) + 2)) | (seen >= FREQUENT)
+    best = counts.withColumn("gain", gain).where(sure).orderBy(F.desc("gain"), "term").limit(size).select("term").toArrow()
+    return np.sort(best.column(0).to_numpy().astype(np.uint32))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, size: int = SIZE, **settings) -> FactorizationMachine:
     """Learn `labels.toxic` from labelled documents that are not held out.
 
-    At most `sample` labelled doc_ids, the first by hash, are learned from: that bounds what is broadcast and
-    what reaches the driver (the term hashes of so many texts). Rows without a doc_id or label teach nothing; a
-    doc_id labelled twice counts as toxic if either label is."""
+    At most `sample` labelled doc_ids, the first by hash, are learned from: that bounds what is broadcast. Their terms are
+    counted and chosen in Spark; the driver gets for each text the places of the chosen terms, two bytes each, so a long text
+    costs it no more than `size` of them. Rows without a doc_id or label teach nothing; a doc_id labelled twice counts as
+    toxic if either label is; of several texts with one doc_id one is learned from."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<long>")
     def hashed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: term_ids(t).tobytes())
+        return texts.map(term_ids)
+
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", hashed("text").alias("ids"))
+    texts = scratch.keep(own.groupBy("doc_id", "toxic").agg(F.min("ids").alias("ids")), "texts")
+    terms = chosen_terms(texts, size)
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", hashed("text").alias("ids")).toArrow().to_pandas()
-    rows = rows.sort_values(["doc_id", "ids"], kind="stable").drop_duplicates("doc_id")
-    ids = [np.frombuffer(x, np.uint32) for x in rows["ids"]]
-    return train(ids, rows["toxic"].to_numpy(), **settings)
+    @F.pandas_udf("binary")
+    def placed(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: find_places(terms, np.asarray(x, np.uint32))[1].astype(np.uint16).tobytes())
+
+    rows = texts.select("doc_id", "toxic", placed("ids").alias("places")).toArrow()
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    places, toxic = rows.column("places"), rows.column("toxic").to_numpy()
+    # As numbers of eight bytes they would take four times the room; `learn` widens those of a batch.
+    return learn(terms, [np.frombuffer(places[int(i)].as_py(), np.uint16) for i in order], toxic[order], **settings)
 
 
 def score_column(fm: FactorizationMachine, text: Column) -> Column:
