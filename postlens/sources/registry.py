@@ -25,21 +25,27 @@ def _items(kinds: tuple[str, ...]) -> Column:
     for name in kinds:
         if name in BOARD_KINDS:
             chosen = chosen.when(kind == name, BOARDS[name](body))
-    # The two Python-backed kinds see NULL for rows that are not theirs.
     if "jsonld" in kinds:
-        chosen = chosen.when(kind == "jsonld", jsonld.jsonld_items(F.when(kind == "jsonld", body)))
+        none = F.filter(F.array(F.parse_json(F.lit("null"))), lambda _: F.lit(False))
+        chosen = chosen.when((kind == "jsonld") & body.isNotNull(), jsonld.jsonld_items(F.coalesce(F.col("_scripts")["postings"], none)))
     pages = [k for k in kinds if k in HTML_KINDS]
     if pages:
+        # Cards see NULL for rows that are not theirs.
         own = F.when(kind.isin(*pages), body)
         chosen = chosen.when(kind.isin(*pages), cards.card_items(own, F.col("config"), kind == "playwright"))
     return chosen
 
 
 def with_items(df: DataFrame, kinds: tuple[str, ...] = SOURCE_KINDS) -> DataFrame:
-    """Add ``items`` and ``parse_error`` to response rows (source columns already joined)."""
+    """Add ``items``, ``parse_error`` and ``unreadable`` (scripts that are no JSON) to response rows (source columns
+    already joined)."""
     if "config" not in df.columns:
         df = df.withColumn("config", F.lit(None).cast(CONFIG))
-    df = df.withColumn("items", _items(kinds))
+    unreadable = F.lit(0)
+    if "jsonld" in kinds:
+        df = df.withColumn("_scripts", jsonld.read_scripts(F.when(F.col("kind") == "jsonld", F.col("body"))))
+        unreadable = F.coalesce(F.col("_scripts")["unreadable"], F.lit(0))
+    df = df.withColumns({"items": _items(kinds), "unreadable": unreadable}).drop("_scripts")
     error = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, text in SHAPE_ERRORS.items():
         error = error.when((F.col("kind") == name) & F.col("items").isNull(), F.lit(text))
@@ -58,6 +64,11 @@ def empty_signal() -> Column:
     )
 
 
+def unreadable_signal() -> Column:
+    """The signal for a page with scripts that could not be read."""
+    return F.when(F.col("unreadable") > 0, F.concat(F.lit(jsonld.SIGNAL_UNREADABLE), F.col("unreadable").cast("string")))
+
+
 def explode_items(df: DataFrame, kinds: tuple[str, ...] = SOURCE_KINDS) -> DataFrame:
     """Raw postings of rows that carry ``items``.
 
@@ -76,7 +87,7 @@ def explode_items(df: DataFrame, kinds: tuple[str, ...] = SOURCE_KINDS) -> DataF
     texts = ("external_id", "url", "title", "department", "location_text", "employment_type", "html", "posted_text")
     rows = rows.withColumn("salary", F.lit(None).cast(SALARY)).withColumns({n: F.col("_item")[n] for n in texts})
     if "jsonld" in kinds:
-        rows = rows.withColumn("_object", F.try_parse_json(F.col("_item")["document"]))
+        rows = rows.withColumn("_object", F.col("_item")["document"])
         record = jsonld.jsonld_record(F.col("_object"))
         record["company_name"] = F.coalesce(record["company_name"], F.col("company_name"))
         embedded = kind == "jsonld"

@@ -55,6 +55,37 @@ def test_jsonld_finds_nested_postings_and_skips_broken_scripts(make):
     assert none == "jsonld-jobposting-not-found"
 
 
+#: A text with brackets, a quote and a backslash.
+DEEP = 'deep [[{ " ' + chr(92) + " text"
+
+
+def nested(value, n):
+    for i in range(n):
+        value = {"k": value} if i % 2 else [value]
+    return value
+
+
+def test_jsonld_at_any_depth(make):
+    """Postings, and strings within arrays, fifty levels down; brackets in strings and escapes are no levels."""
+    deep = {"@type": "JobPosting", "title": DEEP, "identifier": "d", "industry": [[[[["one"]], " "], ["two", [[[[["three"]]]]]]]]}
+    first = {"@type": "JobPosting", "title": "first", "identifier": "f", "industry": ["x"]}
+    page = "".join(f'<script type="application/ld+json">{t}</script>' for t in (json.dumps([first, nested(deep, 50)]), '{"@type": "JobPosting", "title": ', json.dumps(nested(["@type", "jobposting"], 30))))
+    df = feed(make, "jsonld", page)
+    rows = registry.parse_jsonld(df).orderBy("ordinal").collect()
+    assert [(r.external_id, r.title, r.department) for r in rows] == [("f", "first", "x"), ("d", DEEP, "one · two · three")]
+    assert registry.with_items(df).select(registry.unreadable_signal().alias("s")).first()["s"] == "jsonld-script-unreadable:1"
+    plan = registry.parse_jsonld(df)._jdf.queryExecution().executedPlan().toString()
+    assert "PythonUDF" not in plan and "EvalPython" not in plan and "InArrow" not in plan
+
+
+def test_jsonld_keeps_the_order_of_the_page(make):
+    posting = lambda i, **more: {"@type": "JobPosting", "title": f"T{i}", "identifier": str(i), **more}
+    tree = [posting(0, related=[posting(1), [posting(2, a=posting(3))]]), {"@graph": [posting(4)]}, "text", None, 5]
+    page = f'<script type="application/ld+json">{json.dumps(tree)}</script><script type="application/ld+json">{json.dumps(posting(5))}</script>'
+    rows = registry.parse_jsonld(feed(make, "jsonld", page)).orderBy("ordinal").collect()
+    assert [r.external_id for r in rows] == ["0", "1", "2", "3", "4", "5"]
+
+
 def card_page(n):
     return "<main>" + "".join(
         f'<article class="job" data-job-id="{i}"><a href="/j/{i}"><h2 class="title">T{i}</h2></a><time datetime="2026-01-01"></time></article>' for i in range(n)
