@@ -18,7 +18,9 @@ from postlens.llm.trie import Trie
 by_value(__name__)
 
 #: Candidates of one trie, which is broadcast; more of them go into further tries and passes.
-SHARD = 1 << 20
+SHARD = 1 << 19
+#: Bytes of text in a block; one longer text is a block of its own.
+BLOCK = 4 << 20
 #: Bits of the filter of frequent phrases, a whole number of Spark's bitmaps.
 FILTER = 1 << 23
 MIX = 1_000_003
@@ -55,12 +57,13 @@ def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches([batch])
         for lang in table.column("lang").unique().to_pylist():
             texts = table.filter(pc.equal(table.column("lang"), lang)).column("text").combine_chunks()
-            for group in row_groups(texts):
+            for group in row_groups(texts, BLOCK):
                 numbers, words = word_numbers(group)
                 counts = np.bincount(numbers, minlength=len(words) + 1)[1:]
-                row = [[(task << 32) + made], [lang], [words.to_pylist()], [counts], [numbers.tobytes()]]
+                whole = pa.array([0, len(words)], pa.int32())
+                lists = [pa.ListArray.from_arrays(whole, x) for x in (words, pa.array(counts))]
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + made]), pa.array([lang]), *lists, pa.array([numbers.tobytes()])], names=["block", "lang", "words", "counts", "numbers"])
                 made += 1
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()])], names=["block", "lang", "words", "counts", "numbers"])
 
 
 def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,10 +90,10 @@ def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     between two of those is left out, and of several 0 one stays."""
     for batch in batches:
         out = []
-        for numbers, size, at, ids in zip(*(batch.column(c).to_pylist() for c in ("numbers", "size", "at", "ids"))):
-            own = np.zeros(size + 1, np.int32)
-            own[np.array(at, np.int64) + 1] = ids
-            found = own[np.frombuffer(numbers, np.int32)]
+        for numbers, size, at, ids in zip(*(batch.column(c) for c in ("numbers", "size", "at", "ids"))):
+            own = np.zeros(size.as_py() + 1, np.int32)
+            own[at.values.to_numpy() + 1] = ids.values.to_numpy()
+            found = own[np.frombuffer(numbers.as_buffer(), np.int32)]
             known = np.concatenate([[False], found > 0, [False]])
             beside = known[1:-1] & (known[:-2] | known[2:])
             # A 0 stays behind each run of words that stay.
@@ -100,6 +103,11 @@ def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The numbers of each block, not copied."""
+    return (np.frombuffer(x.as_buffer(), np.int32) for b in batches for x in b.column(0))
+
+
 def phrase_rows(rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     n, length = rows.shape
     edges = pa.array(np.arange(n + 1, dtype=np.int32) * length)
@@ -108,8 +116,8 @@ def phrase_rows(rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 
 def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbouring frequent words, both in one number, with their counts in each block."""
-    for raw in (x for b in batches for x in b.column(0).to_pylist()):
-        ids = np.frombuffer(raw, np.int32).astype(np.int64)
+    for block in blocks_of(batches):
+        ids = block.astype(np.int64)
         keys = (ids[:-1] << 32 | ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0)]
         found, n = np.unique(keys, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["pair", "f"])
@@ -131,8 +139,8 @@ def longer(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     are a frequent phrase by the filter."""
     trie, known = sent.value
     known = np.unpackbits(known, bitorder="little").view(bool)
-    for raw in (x for b in batches for x in b.column(0).to_pylist()):
-        ids = np.append(np.frombuffer(raw, np.int32), np.zeros(trie.length, np.int32))
+    for block in blocks_of(batches):
+        ids = np.append(block, np.zeros(trie.length, np.int32))
         at, row = trie.find(ids)
         at, row = at[ids[at + trie.length] > 0], row[ids[at + trie.length] > 0]
         mixed = np.zeros(len(at), np.int64)
@@ -147,8 +155,8 @@ def count_accepted(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     """How often each phrase of a trie stands in the task's blocks."""
     trie, _ = sent.value
     total = np.zeros(len(trie.rows), np.int64)
-    for raw in (x for b in batches for x in b.column(0).to_pylist()):
-        _, row = trie.find(np.frombuffer(raw, np.int32))
+    for block in blocks_of(batches):
+        _, row = trie.find(block)
         total += np.bincount(row, minlength=len(total))
     at = np.flatnonzero(total)
     yield phrase_rows(trie.rows[at], total[at])
