@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.operators import health, sources as source_state, validate
-from postlens.schemas import CONFIG
+from postlens.schemas import CONFIG, EVIDENCE
 from postlens.session import spread
-from postlens.sources import landed, registry
+from postlens.sources import jsonld, landed, registry
 
 from . import standins as st
 from .base import epoch, query, table, with_ctes
@@ -414,3 +414,134 @@ def invalid_companies(spark, sf):
 )
 def dangling_runs(spark, sf):
     return source_state.dangling(st.source_runs(spark, sf))
+
+
+@query(
+    "invalid_postings",
+    with_ctes(
+        ctes("jobs"),
+        """SELECT id, array_to_string(list_filter([CASE WHEN length(e) NOT BETWEEN 1 AND 300 THEN 'external_id:length' END, CASE WHEN NOT regexp_matches(u, '^[a-zA-Z][a-zA-Z0-9+.-]*:[^[:space:]]+$') THEN 'canonical_url:pattern' END,
+  CASE WHEN length(t) > 500 THEN 'title:length' END, CASE WHEN w NOT IN ('remote', 'hybrid', 'onsite', 'unknown') THEN 'workplace_type:enum' END, CASE WHEN sc > 100 THEN 'score:range' END,
+  CASE WHEN NOT regexp_matches(h, '^[a-f0-9]{64}$') THEN 'content_hash:pattern' END], lambda x: x IS NOT NULL), ',') AS errors
+FROM (SELECT id, CASE WHEN score % 7 = 0 THEN '' ELSE external_id END AS e, CASE WHEN score % 7 = 1 THEN 'no url' ELSE 'https://x.example.com/' || external_id END AS u,
+  CASE WHEN score % 7 = 2 THEN repeat('long ', 101) ELSE 'T' END AS t, CASE WHEN score % 7 = 3 THEN 'boat' ELSE 'remote' END AS w, CASE WHEN score % 7 = 4 THEN score + 101 ELSE score END AS sc,
+  CASE WHEN score % 7 = 5 THEN upper(sha256(id)) ELSE sha256(id) END AS h FROM jobs)""",
+    ),
+)
+def invalid_postings(spark, sf):
+    odd, text = F.col("score") % 7, F.lit("text")
+    none = F.lit(None)
+    rows = st.jobs(spark, sf).withColumns(
+        {
+            "canonical_url": F.when(odd == 1, "no url").otherwise(F.concat(F.lit("https://x.example.com/"), "external_id")),
+            "external_id": F.when(odd == 0, "").otherwise(F.col("external_id")),
+            "title": F.when(odd == 2, F.repeat(F.lit("long "), 101)).otherwise("T"),
+            "workplace_type": F.when(odd == 3, "boat").otherwise("remote"),
+            "content_hash": F.when(odd == 5, F.upper(F.sha2("id", 256))).otherwise(F.sha2("id", 256)),
+            "company_name": text, "description_text": text, "search_text": text, "remote_scope": F.lit("worldwide"), "eligible_from_korea": F.lit("yes"),
+            "async_level": F.lit("strong"), "skills": F.array(text), "confidence": F.lit(0.5), "evidence": F.array().cast(EVIDENCE),
+            **{n: none.cast("string") for n in ("department", "location_text", "employment_type", "required_timezone", "salary_currency", "salary_interval")},
+            **{n: none.cast("double") for n in ("required_overlap_hours", "salary_min", "salary_max")}, "posted_at": none.cast("bigint"),
+            "score": F.when(odd == 4, F.col("score") + 101).otherwise(F.col("score")),
+        }
+    )
+    checked = validate.with_errors(rows, validate.posting_contract())
+    return checked.select("id", F.array_join("errors", ",").alias("errors"))
+
+
+@query(
+    "invalid_observations",
+    """SELECT event_id, array_to_string(list_filter([CASE WHEN event_type NOT IN ('view', 'click') THEN 'status:enum' END, CASE WHEN floor(value) > 599 THEN 'http_status:range' END,
+  CASE WHEN user_id % 5 = 0 THEN 'expected_batch_count:missing' END, CASE WHEN user_id % 5 = 1 THEN 'signals:size' END, CASE WHEN user_id % 5 = 2 THEN 'signals:length' END], lambda x: x IS NOT NULL), ',') AS errors
+FROM events""",
+)
+def invalid_observations(spark, sf):
+    odd, none = F.col("user_id") % 5, F.lit(None).cast("string")
+    long = F.when(odd == 2, F.repeat(F.lit("s"), 301)).otherwise("s")
+    rows = table(spark, sf, "events").select(
+        "event_id", F.lit("run").alias("run_id"), F.lit("source").alias("source_id"),
+        F.when(F.col("event_type") == "view", "healthy").when(F.col("event_type") == "click", "failed").otherwise(F.col("event_type")).alias("status"),
+        F.floor("value").cast("int").alias("http_status"), *[F.lit(1).alias(n) for n in ("fetched_job_count", "previous_job_count", "received_batch_count")],
+        F.when(odd != 0, 1).alias("expected_batch_count"), *[none.alias(n) for n in ("response_hash", "content_fingerprint", "etag", "last_modified", "error_code", "error_message")],
+        F.when(odd == 1, F.array_repeat(long, 21)).otherwise(F.array(long)).alias("signals"),
+    )
+    return validate.with_errors(rows, validate.observation_contract()).select("event_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query(
+    "invalid_actions",
+    with_ctes(
+        ctes("actions"),
+        """SELECT job_id, array_to_string(list_filter([CASE WHEN action = 'dismissed' THEN 'action:enum' END, CASE WHEN action = 'saved' THEN 'notes:length' END,
+  CASE WHEN applied_at IS NOT NULL THEN 'applied_at:range' END], lambda x: x IS NOT NULL), ',') AS errors FROM actions""",
+    ),
+)
+def invalid_actions(spark, sf):
+    rows = st.actions(spark, sf).withColumns(
+        {"notes": F.when(F.col("action") == "saved", F.repeat(F.lit("n"), 5001)), "action": F.regexp_replace("action", "^dismissed$", "gone"), "applied_at": -F.col("applied_at")}
+    )
+    return validate.with_errors(rows, validate.action_contract()).select("job_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query(
+    "checked_snapshots",
+    with_ctes(
+        ctes("sources"),
+        """SELECT id AS source_id, CASE WHEN bad AND k = 'complete' THEN 'retry' ELSE k END AS kind, CASE WHEN bad AND k = 'complete' THEN 'not-modified-snapshot-mismatch' END AS reason,
+  bad AS bad_snapshot, snapshot_run_id AS stored_snapshot_run_id
+FROM (SELECT *, status_ = 'not_modified' AND (k <> 'complete' OR snapshot_run_id IS NULL OR content_fingerprint IS NULL OR f IS DISTINCT FROM content_fingerprint) AS bad
+  FROM (SELECT *, CASE previous_job_count % 3 WHEN 0 THEN 'healthy' ELSE 'not_modified' END AS status_, CASE WHEN previous_job_count % 5 = 0 THEN 'quarantine' ELSE 'complete' END AS k,
+    CASE WHEN previous_job_count % 2 = 0 THEN 'other' ELSE content_fingerprint END AS f FROM sources))""",
+    ),
+)
+def checked_snapshots(spark, sf):
+    n, sources = F.col("previous_job_count"), st.sources(spark, sf)
+    kind = F.when(n % 5 == 0, "quarantine").otherwise("complete")
+    reports = sources.select(
+        F.col("id").alias("source_id"), F.when(n % 3 == 0, "healthy").otherwise("not_modified").alias("status"),
+        F.when(n % 2 == 0, "other").otherwise(F.col("content_fingerprint")).alias("content_fingerprint"),
+        F.struct(kind.alias("kind"), F.lit(None).cast("string").alias("reason")).alias("disposition"),
+    )
+    return health.check_snapshots(reports, sources).select("source_id", "disposition.kind", "disposition.reason", "bad_snapshot", "stored_snapshot_run_id")
+
+
+@query(
+    "parsed_salaries",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE 'USD' END AS currency,
+  CASE o_orderkey % 4 WHEN 0 THEN floor(o_totalprice) WHEN 1 THEN floor(o_totalprice) WHEN 2 THEN floor(o_totalprice) END AS low,
+  CASE o_orderkey % 4 WHEN 0 THEN floor(o_totalprice) + 7 WHEN 1 THEN floor(o_totalprice) + 7 WHEN 2 THEN floor(o_totalprice) END AS high,
+  CASE o_orderkey % 4 WHEN 0 THEN 'YEAR' WHEN 1 THEN 'MONTH' END AS unit FROM orders""",
+)
+def parsed_salaries(spark, sf):
+    """min and max, minValue and maxValue, one value, and a list, which is no salary."""
+    low = F.floor("o_totalprice").cast("bigint")
+    low, high = low.cast("string"), (low + 7).cast("string")
+    c = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    kind = F.col("o_orderkey") % 4
+    text = (
+        F.when(kind == 0, c('{"currency":"USD","min":', low, ',"max":', high, ',"interval":"YEAR"}'))
+        .when(kind == 1, c('{"currencyCode":"USD","minValue":', low, ',"maxValue":', high, ',"unitText":"MONTH"}'))
+        .when(kind == 2, c('{"currency":"USD","value":', low, "}"))
+        .otherwise(c("[", low, "]"))
+    )
+    rows = table(spark, sf, "orders").select("o_orderkey", jsonld.parse_salary(F.try_parse_json(text)).alias("s"))
+    return rows.select("o_orderkey", F.col("s.currency").alias("currency"), F.col("s.min").alias("low"), F.col("s.max").alias("high"), F.col("s.interval").alias("unit"))
+
+
+@query(
+    "deep_jsonld",
+    """SELECT 'source_' || o_orderkey AS source_id, CAST(o_orderkey AS VARCHAR) AS external_id, o_orderpriority || ' · ' || o_orderstatus AS title, 'Deep ' || o_custkey AS department, 1 AS unreadable FROM orders""",
+)
+def deep_jsonld(spark, sf):
+    """A posting fifty levels down with a text twelve arrays down, beside a script that is no JSON."""
+    key = F.col("o_orderkey").cast("string")
+    posting = F.concat(
+        F.lit('{"@type":["Thing","jobPosting"],"identifier":"'), key, F.lit('","industry":' + "[" * 12 + '"Deep '), F.col("o_custkey").cast("string"), F.lit('"' + "]" * 12),
+        F.lit(',"title":[["'), "o_orderpriority", F.lit('"],[[" "],[[["'), "o_orderstatus", F.lit('"]]]]]}'),
+    )
+    body = F.concat(
+        F.lit('<script type="application/ld+json">{"@type": "JobPosting", </script><script type="application/ld+json">' + '{"k":[' * 25), posting, F.lit("]}" * 25 + "</script>")
+    )
+    rows = _landed(_orders(spark, sf)).withColumn("body", body)
+    parsed = registry.with_items(rows.withColumn("kind", F.lit("jsonld")), ("jsonld",))
+    return registry.explode_items(parsed, ("jsonld",)).select("source_id", "external_id", "title", "department").join(parsed.select("source_id", "unreadable"), "source_id")

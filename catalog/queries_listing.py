@@ -387,6 +387,17 @@ def export_actions(spark, sf):
     return parts["job_actions"]
 
 
+@query("export_companies", with_ctes(ctes("companies"), "SELECT * FROM companies"))
+def export_companies(spark, sf):
+    return reports.export_user_data(st.companies(spark, sf), st.sources(spark, sf), st.actions(spark, sf), st.jobs(spark, sf))["companies"]
+
+
+@query("export_sources", with_ctes(ctes("sources"), "SELECT id, company_id, kind, url, status, previous_job_count FROM sources"))
+def export_sources(spark, sf):
+    parts = reports.export_user_data(st.companies(spark, sf), st.sources(spark, sf), st.actions(spark, sf), st.jobs(spark, sf))
+    return parts["sources"].select("id", "company_id", "kind", "url", "status", "previous_job_count")
+
+
 @query(
     "run_summaries",
     """WITH o AS (SELECT 'run_' || strftime(ts, '%Y%m%d') AS run_id, event_type <> 'error' AS ok FROM events)

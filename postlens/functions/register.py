@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession, functions as F, types as T
 
 from ..sources.cards import page_cards
 from .text import HYPHENS, TRIM_CHARS
-from .url import TRACKING_PARAM
+from .url import _SPLIT, TRACKING_PARAM
 
 
 def _quoted(text: str) -> str:
@@ -17,30 +17,52 @@ _CLEAN = (
     "btrim(regexp_replace(regexp_replace(x, '[\\\\t\\\\r \\\\u00a0]+', ' '), '\\\\n{3,}', '\\n\\n'), "
     + _quoted(TRIM_CHARS) + ")"
 )
-_PARTS = _quoted(r"^([A-Za-z][A-Za-z0-9+.-]*):[/\\]*([^/?#\\]*)([^?#]*)(\?[^#]*)?(#.*)?$")
-_HOST = (
-    f"regexp_replace(lower(regexp_extract(x, {_PARTS}, 2)), "
-    f"if(lower(regexp_extract(x, {_PARTS}, 1)) = 'https', ':(?:443)?$', ':(?:80)?$'), '')"
-)
+_SPLIT_SQL = _quoted(_SPLIT)
+
+
+def _part(group: int) -> str:
+    return f"regexp_extract(x, {_SPLIT_SQL}, {group})"
+
+
 _NAME = "coalesce(try_url_decode(substring_index(p, '=', 1)), substring_index(p, '=', 1))"
 _VALUE = "if(position('=', p) > 0, substring(p, position('=', p) + 1), '')"
 _QUERY = (
     "array_join(transform(array_sort(filter(transform("
-    f"filter(split(substring(regexp_extract(x, {_PARTS}, 4), 2), '&'), p -> p <> ''), "
+    f"filter(split(substring({_part(4)}, 2), '&'), p -> p <> ''), "
     f"(p, i) -> named_struct('name', {_NAME}, 'i', i, 'text', "
     f"concat(url_encode({_NAME}), '=', url_encode(coalesce(try_url_decode({_VALUE}), {_VALUE}))))), "
     f"f -> not rlike(f.name, {_quoted(TRACKING_PARAM)}))), f -> f.text), '&')"
 )
-_PATH = f"coalesce(nullif(regexp_extract(x, {_PARTS}, 3), ''), '/')"
+_HOST = (
+    f"regexp_replace(lower(regexp_replace({_part(2)}, '^.*@', '')), "
+    f"if(lower({_part(1)}) = 'https', ':(?:443)?$', ':(?:80)?$'), '')"
+)
+# Dot segments of a path x: kept segments are gathered, one `..` takes the last of them away.
+_SEGMENTS = "slice(split(x, '/'), 2, size(split(x, '/')))"
+_KEPT = (
+    f"aggregate({_SEGMENTS}, cast(array() as array<string>), (a, s) -> if(s = '..', slice(a, 1, greatest(size(a) - 1, 0)), "
+    "if(s = '.', a, concat(a, array(s)))))"
+)
+_PATH = (
+    "if(x = '', '/', if(contains(x, '/.'), "
+    f"concat('/', array_join({_KEPT}, '/'), if(element_at({_SEGMENTS}, -1) in ('.', '..') and size({_KEPT}) > 0, '/', '')), x))"
+)
+# The helpers are functions of their own, so that each value is written once; they take `prefix` as their name's begin.
 _URL = (
-    f"if(rlike(x, '(?i)^https?:') and regexp_extract(x, {_PARTS}, 2) <> '', "
-    f"concat(lower(regexp_extract(x, {_PARTS}, 1)), '://', {_HOST}, {_PATH}, "
+    f"if(rlike(x, '(?i)^https?:') and {_part(2)} <> '', "
+    f"concat(lower({_part(1)}), '://', regexp_extract({_part(2)}, '^(.*@)', 1), {_HOST}, "
+    "{prefix}settled_path(translate(" + _part(3) + ", '" + "\\\\" + "', '/')), "
     f"if({_QUERY} = '', '', concat('?', {_QUERY}))), null)"
 )
 _FUNCTIONS = {
     "normalize_whitespace": ("string", "string", _CLEAN),
     "normalize_for_match": ("string", "string", f"translate(lower({_CLEAN}), {_quoted(HYPHENS)}, '-----')"),
-    "canonical_url": ("string", "string", _URL),
+    "settled_path": ("string", "string", _PATH),
+    "trimmed_url_parts": ("string", "string", _URL),
+    "canonical_url": (
+        "string", "string",
+        f"{{prefix}}trimmed_url_parts(regexp_replace(btrim(x, {_quoted(TRIM_CHARS)}), '[\\\\t\\\\n\\\\r]', ''))",
+    ),
     "score_band": (
         "int", "string",
         "case when x >= 85 then 'excellent' when x >= 70 then 'good' when x >= 50 then 'mixed' else 'low' end",
@@ -63,6 +85,7 @@ def register_functions(spark: SparkSession, prefix: str = "posting_") -> list[st
     """Create the temporary SQL functions; the scalar ones inline into plans."""
     names = []
     for name, (argument, result, body) in _FUNCTIONS.items():
+        body = body.replace("{prefix}", prefix)
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(x {argument}) RETURNS {result} RETURN {body}")
         names.append(prefix + name)
     spark.udtf.register(prefix + "html_cards", F.udtf(_HtmlCards, returnType=_CARD))

@@ -8,6 +8,7 @@ from ..functions.text import blank_to_null, canonical_json, json_object, json_st
 from ..functions.values import next_due, retry_at
 from ..schemas import BROWSER_KIND, COMPANIES, CONFIG, CONFIG_TEXTS, CRAWL_RUNS, SOURCE_RUNS, SOURCES, struct
 from .history import one_each
+from .joins import join_salted
 from .state import insert_ignore, last_dispositions
 
 SNAPSHOT = ("etag", "last_modified", "content_fingerprint", "snapshot_run_id")
@@ -197,7 +198,8 @@ def finalize_runs(
         crawl_runs.columns,
     )
     closing = applied.select("run_id", F.lit(True).alias("_closing"))
-    open_runs = source_runs.join(closing, "run_id", "left").withColumn(
+    # One run may hold all source runs.
+    open_runs = join_salted(source_runs, closing, ["run_id"], ["source_id"], "left").withColumn(
         "_dangling", F.coalesce(c("_closing") & (c("status") == "running"), F.lit(False))
     )
     new_source_runs = _update(

@@ -201,8 +201,12 @@ def ledger_counts(ingest_batches: DataFrame) -> DataFrame:
     return ingest_batches.groupBy("run_id", "source_id").agg(F.count(F.lit(1)).alias("stored_batches"))
 
 
-def run_context(df: DataFrame, sources: DataFrame, source_runs: DataFrame, crawl_runs: DataFrame) -> DataFrame:
-    """Add the state a run's report is judged by; absent rows give NULLs."""
+def run_context(
+    df: DataFrame, sources: DataFrame, source_runs: DataFrame, crawl_runs: DataFrame, spread_by: Sequence[str] = ()
+) -> DataFrame:
+    """Add the state a run's report is judged by; absent rows give NULLs.
+
+    All rows may be of one run, and a source may have most of them: ``spread_by`` names columns that tell its rows apart."""
     s = sources.select(
         F.col("id").alias("source_id"), F.col("company_id").alias("source_company_id"), "lease_owner",
         F.lit(True).alias("source_exists"),
@@ -212,7 +216,9 @@ def run_context(df: DataFrame, sources: DataFrame, source_runs: DataFrame, crawl
         F.col("completed_at").alias("source_run_completed_at"),
     )
     cr = crawl_runs.select(F.col("id").alias("run_id"), F.col("status").alias("crawl_run_status"))
-    return df.join(s, "source_id", "left").join(sr, ["run_id", "source_id"], "left").join(cr, "run_id", "left")
+    rows = join_salted(df, s, ["source_id"], spread_by or ["run_id"], "left")
+    rows = join_salted(rows, sr, ["run_id", "source_id"], spread_by or ["source_id"], "left")
+    return join_salted(rows, cr, ["run_id"], spread_by or ["source_id"], "left")
 
 
 def admit_writes(context: DataFrame) -> DataFrame:

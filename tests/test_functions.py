@@ -214,3 +214,16 @@ def test_named_sql_functions(spark):
     assert tuple(row) == ("a b", "excellent", "http://a.com/?b=1")
     cards = spark.sql("SELECT title, url FROM posting_html_cards('<ul><li class=j><a href=/x>T</a></li></ul>', 'li.j', 'a')").collect()
     assert [tuple(c) for c in cards] == [("T", "/x")]
+
+
+SAME_IN_SQL = [
+    "http://a.com/x/../y", "http://U@a.com/", " http://a.com/b ", "http://a.com\\b\\..\\c?x=1&utm_source=q&b=2#f", "HTTPS://User:Pw@Ex.COM:443/%7e/./a/../", "http://a.com:80",
+    "ftp://x/y", None, "", "http:///a", "https://x.com/a/b/../../..", "http://a.com/?b=2&a=%20x&ref=1&=v&c", "http://a.com/.hidden/a.", "http://x.com/a\tb\nc", "https://a.b:8443/p?x",
+]
+
+
+def test_the_sql_function_gives_what_the_column_gives(spark):
+    register_functions(spark)
+    rows = spark.createDataFrame([(u,) for u in SAME_IN_SQL], "u string")
+    for row in rows.select("u", url.canonical_url(F.col("u")).alias("column"), F.expr("posting_canonical_url(u)").alias("named")).collect():
+        assert row.column == row.named, row.u

@@ -3,6 +3,7 @@
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from postlens import schemas as S
@@ -10,7 +11,7 @@ from postlens.operators import history, sources as sources_ops, state
 from postlens.plans import reports, views
 from postlens.plans.collect import collect_run
 from postlens.sources.registry import parse_board_c
-from postlens.sources.tables import Tables, replace_partitions
+from postlens.sources.tables import Delta, Tables, replace_partitions
 from postlens.streaming import ingest
 
 
@@ -247,3 +248,67 @@ def test_hot_source_is_spread_over_partitions(spark):
         assert re.search(r"hashpartitioning\(source_id#\d+, _salt#\d+", final_plan(aged))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_batch_lost_before_its_manifest_is_applied_once(make, spark, tmp_path):
+    """The ledger, what is made of admitted rows and the batch's number are published in one step."""
+    tables = Tables(spark, str(tmp_path / "t"), {"ingest_batches": S.INGEST_BATCHES, "effects": "batch_id string, n int"}, {"ingest_batches": ("batch_id",), "effects": ("batch_id",)}, buckets=2)
+    rows = make("batch_id string, run_id string, source_id string, job_count bigint, at int", *[dict(batch_id=f"b{i % 3}", run_id="r", source_id="s", job_count=1, at=i) for i in range(6)])
+    calls = []
+
+    def admitted(new, number, at):
+        calls.append((number, at.version))
+        return {"effects": Delta(new.selectExpr("batch_id", "1 AS n"), append=True)}
+
+    sink, create = ingest.ledger_sink(tables, "at", lambda: F.lit(5), admitted), tables.files.create
+
+    def lose(*_):
+        raise OSError("lost")
+
+    tables.files.create = lose
+    with pytest.raises(OSError, match="lost"):
+        sink(rows, 0)
+    assert tables.version() == 0 and tables.read("effects").isEmpty()
+    tables.files.create = create
+    for _ in range(2):
+        sink(rows, 0)
+    assert (tables.version(), tables.read("effects").count(), tables.read("ingest_batches").count()) == (1, 3, 3)
+    sink(rows, 1)
+    assert tables.read("effects").count() == 3 and calls == [(0, 0), (0, 0), (1, 1)]
+
+
+def test_listed_signals_are_limited_and_all_are_kept_as_rows(make):
+    titles = [" "] * 30 + ["Real"]
+    result = collect_run(make(S.RESPONSE, response("s", board(*titles))), state_tables(make, sources=[source("s", "greenhouse")]), F.lit(1000), signals_listed=1)
+    assert result.observations.first().signals == ["normalize-error:Job title is empty"]
+    assert result.signals.count() == 30
+
+
+def test_details_landed_in_the_same_run(make):
+    config = '{"listSelector":"li","titleSelector":"a","detailDescriptionSelector":".d"}'
+    page = "<ul>" + "".join(f"<li data-id={i}><a href=/j/{i}>Job {i}</a>{'<p class=d>' + 'long ' * 50 + '</p>' if i == 3 else ''}</li>" for i in range(4)) + "</ul>" + " " * 100
+    detail = lambda i, body, **more: response("cards", body, role="detail", url=f"https://base.com/j/{i}", content_type="text/html", **more)
+    responses = make(
+        S.RESPONSE, response("cards", page, content_type="text/html"), detail(0, "<div class=d>Full text</div>"), detail(1, "", status=404), detail(3, "<div class=d>not asked for</div>"),
+        detail(2, "<div class=d>other run</div>", run="r0"),
+    )
+    result = collect_run(responses, state_tables(make, sources=[source("cards", "static-html", config_json=config)]), F.lit(1000))
+    texts = {j.external_id: j.description_text for j in result.tables["jobs"].collect()}
+    assert texts == {"0": "Full text", "1": "", "2": "", "3": ("long " * 50).strip()}
+    assert result.observations.first().signals == ["detail-fetch-failed:https://base.com/j/1:HTTP 404 for https://base.com/j/1", "detail-fetch-failed:https://base.com/j/2:not landed"]
+
+
+def test_custom_kinds_parse_the_landing_that_counts(make):
+    """A page landed twice is parsed once, and pages are numbered one behind the other."""
+    def parser(rows):
+        return parse_board_c(rows)
+
+    def page(*ids):
+        return json.dumps({"jobs": [{"id": i, "title": f"T{i}", "jobUrl": f"https://own/{i}"} for i in ids], "pad": "x" * 100})
+
+    landed = make(
+        S.RESPONSE, response("own", page("a", "gone")), response("own", page("a", "b"), fetched_at=60), response("own", page("c"), url="https://u?2"), response("own", page("c"), url="https://u?2"),
+    )
+    result = collect_run(landed, state_tables(make, sources=[source("own", "jsonld")]), F.lit(1000), custom={"jsonld": parser})
+    assert sorted(j.external_id for j in result.tables["jobs"].collect()) == ["a", "b", "c"]
+    assert result.observations.first().fetched_job_count == 3

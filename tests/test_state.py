@@ -343,3 +343,15 @@ def test_source_contract(make):
         [], ["ADAPTER_KEY_REQUIRED"], ["SELECTORS_REQUIRED"], ["BROWSER_KIND_REQUIRED"], ["crawl_interval_minutes:range"], ["url:pattern"],
         ["config.headers:forbidden"], ["config.headers:value"],
     ]
+
+
+def test_reports_handed_in_twice_or_contradicting_change_state_once(make):
+    """Of several reports of one source the last counts, whatever their order; rows are never multiplied."""
+    first = judge(make, observation(status="failed", http_status=503), 0).withColumn("reported_at", F.lit(1))
+    last = judge(make, observation(etag="e2", content_fingerprint="b" * 64)).withColumn("reported_at", F.lit(2))
+    many = last.unionByName(first).unionByName(last).unionByName(first)
+    sources, runs, jobs = make(S.SOURCES, source()), make(S.SOURCE_RUNS), make(S.JOBS, job("a"), job("b", last_seen_run_id="old"))
+    for change, old in ((source_state.advance_sources, sources), (source_state.record_source_runs, runs), (state.age_missing, jobs)):
+        assert sorted(map(str, change(old, many, now()).collect())) == sorted(map(str, change(old, last, now()).collect()))
+    assert state.age_missing(jobs, many, now()).count() == 2
+    assert [tuple(r)[1:] for r in source_state.run_counters(many).collect()] == [(1, 0)]
