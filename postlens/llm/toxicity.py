@@ -20,7 +20,8 @@ STEMS = (4, 5)
 FREQUENT = 200
 #: Terms of a model; their places fit into two bytes.
 SIZE = 2048
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+GROUP = 256
 THRESHOLD = 0.3
 
 
@@ -164,19 +165,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, size: int = SI
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
-    @F.pandas_udf("array<long>")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return texts.map(term_ids)
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # A few hundred texts at a time: their hashes take more room than the texts.
+        for texts in batches:
+            for at in range(0, len(texts), GROUP):
+                yield texts.iloc[at : at + GROUP].map(term_ids)
 
+    each.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    hashed = F.pandas_udf(each, "array<long>")
     scratch = Scratch(docs.sparkSession, "toxicity")
     own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", hashed("text").alias("ids"))
     texts = scratch.keep(own.groupBy("doc_id", "toxic").agg(F.min("ids").alias("ids")), "texts")
     terms = chosen_terms(texts, size)
 
-    @F.pandas_udf("binary")
-    def placed(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: find_places(terms, np.asarray(x, np.uint32))[1].astype(np.uint16).tobytes())
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for ids in batches:
+            for at in range(0, len(ids), GROUP):
+                yield ids.iloc[at : at + GROUP].map(lambda x: find_places(terms, np.asarray(x, np.uint32))[1].astype(np.uint16).tobytes())
 
+    place.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    placed = F.pandas_udf(place, "binary")
     rows = texts.select("doc_id", "toxic", placed("ids").alias("places")).toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     places, toxic = rows.column("places"), rows.column("toxic").to_numpy()
