@@ -240,12 +240,12 @@ def broken_bodies(spark, sf):
     "response_signals",
     """SELECT page_id, array_to_string(list_filter([CASE WHEN length(trim(b)) < 100 THEN 'response-too-short' END, CASE WHEN regexp_matches(lower(b), 'captcha') THEN 'captcha-page' END,
   CASE WHEN regexp_matches(lower(b), 'log in to continue') THEN 'login-page' END, CASE WHEN regexp_matches(b, '(?i)<title>\\s*(?:login|sign in)') THEN 'login-title' END], lambda x: x IS NOT NULL), ',') AS signals
-FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN left(html, 60) WHEN 1 THEN html || ' CAPTCHA' WHEN 2 THEN '<title> Sign in</title>Log in to continue' ELSE html END AS b FROM pages)""".replace("\\\\", "\\"),
+FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN md5(html) WHEN 1 THEN html || ' CAPTCHA' WHEN 2 THEN '<title> Sign in</title>Log in to continue' || html ELSE html END AS b FROM pages)""".replace("\\\\", "\\"),
 )
 def response_signals(spark, sf):
     kind = F.col("page_id") % 5
-    body = F.when(kind == 0, F.substring("html", 1, 60)).when(kind == 1, F.concat("html", F.lit(" CAPTCHA")))
-    body = body.when(kind == 2, "<title> Sign in</title>Log in to continue").otherwise(F.col("html"))
+    body = F.when(kind == 0, F.md5("html")).when(kind == 1, F.concat("html", F.lit(" CAPTCHA")))
+    body = body.when(kind == 2, F.concat(F.lit("<title> Sign in</title>Log in to continue"), "html")).otherwise(F.col("html"))
     rows = table(spark, sf, "pages").withColumn("b", body)
     return rows.select("page_id", F.array_join(health.response_signals(F.col("b"), F.lit(1)), ",").alias("signals"))
 

@@ -119,7 +119,7 @@ def canonical_json_maps(spark, sf):
 def decoded_props(spark, sf):
     default = F.struct(F.lit(-1).cast("bigint").alias("k"))
     good = text.json_or(F.col("props"), "struct<k:bigint>", default)
-    broken = text.json_or(F.substring("props", 2, 100), "array<struct<k:bigint>>", F.array(default))
+    broken = text.json_or(F.concat(F.lit("["), "props"), "array<struct<k:bigint>>", F.array(default))
     return table(spark, sf, "events").select("event_id", good["k"].alias("k"), F.get(broken, F.lit(0))["k"].alias("broken"))
 
 
