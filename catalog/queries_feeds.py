@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.operators import health, sources as source_state, validate
-from postlens.schemas import CONFIG, EVIDENCE
+from postlens.schemas import CONFIG, EVIDENCE, RAW_POSTING, struct
 from postlens.session import spread
 from postlens.sources import jsonld, landed, registry
 
@@ -545,3 +545,26 @@ def deep_jsonld(spark, sf):
     rows = _landed(_orders(spark, sf)).withColumn("body", body)
     parsed = registry.with_items(rows.withColumn("kind", F.lit("jsonld")), ("jsonld",))
     return registry.explode_items(parsed, ("jsonld",)).select("source_id", "external_id", "title", "department").join(parsed.select("source_id", "unreadable"), "source_id")
+
+
+@query(
+    "custom_kind_postings",
+    """SELECT 'source_' || o_orderkey AS source_id, i AS ordinal, 'x' || o_orderkey || '-' || i AS external_id, 'Row ' || i || ' of ' || o_orderpriority AS title, 'Company ' || o_custkey AS company_name
+FROM orders, (SELECT unnest([0, 1]) AS i) WHERE o_orderkey % 2 = 0
+UNION ALL SELECT 'source_' || o_orderkey, 0, CAST(o_orderkey AS VARCHAR), o_orderpriority, 'Company ' || o_custkey FROM orders WHERE o_orderkey % 2 = 1""",
+)
+def custom_kind_postings(spark, sf):
+    """A kind of its own, lines of fields, parsed beside the built-in ones."""
+
+    def lines(rows):
+        line = rows.select("source_id", "run_id", "company_name", "source_url", F.posexplode(F.split("body", "\n")).alias("ordinal", "line"))
+        fields = F.split("line", "[|]")
+        given = {"external_id": F.get(fields, F.lit(0)), "title": F.get(fields, F.lit(1)), "canonical_url": F.col("source_url"), "description_text": F.lit("")}
+        return line.select(*[given.get(f.name, F.col(f.name) if f.name in line.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in struct(RAW_POSTING)])
+
+    key = F.col("o_orderkey").cast("string")
+    own = F.concat(F.lit("x"), key, F.lit("-0|Row 0 of "), "o_orderpriority", F.lit("\nx"), key, F.lit("-1|Row 1 of "), "o_orderpriority")
+    board = F.concat(F.lit('{"jobs":[{"id":"'), key, F.lit('","title":"'), "o_orderpriority", F.lit('","jobUrl":"https://c.example.com/1"}]}'))
+    even = F.col("o_orderkey") % 2 == 0
+    rows = _landed(_orders(spark, sf)).withColumns({"kind": F.when(even, "lines").otherwise("ashby"), "body": F.when(even, own).otherwise(board)})
+    return registry.parse_all(rows, {"lines": lines}).select("source_id", "ordinal", "external_id", "title", "company_name")

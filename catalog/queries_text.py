@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions import classify as cl, html, keys, text, url, values
 from postlens.functions.register import register_functions
+from postlens.operators import health
 from postlens.plans.normalize import normalize_postings
 from postlens.schemas import POSTED, SALARY
 from postlens.session import spread
@@ -613,3 +614,25 @@ def content_hashes(spark, sf):
 def version_snapshots(spark, sf):
     rows = normalize_postings(_raw_postings(spark, sf))
     return rows.select("doc_id", keys.snapshot_json().alias("snapshot"))
+
+
+_SHORT = "CASE WHEN length({t}) <= {n} THEN {t} ELSE rtrim(substr({t}, 1, {n} - 1)) || '…' END"
+
+
+@query(
+    "limited_fields",
+    f"""WITH p AS (SELECT p_partkey, p_type, p_type || ' ' || p_brand AS t FROM part)
+SELECT p_partkey, {_SHORT.format(t="t", n=18)} AS short, array_to_string(list_slice([p_type, 'extra', t], 1, 2), ',') AS skills,
+  {_SHORT.format(t="t", n=12)} || '|' || {_SHORT.format(t="p_type", n=12)} AS evidence, 's1,' || p_type AS signals FROM p""",
+)
+def limited_fields(spark, sf):
+    """Every limit given: characters of a text, number of skills, of pieces of evidence and their characters, of signals."""
+    whole = F.concat("p_type", F.lit(" "), "p_brand")
+    piece = lambda c: F.struct(F.lit("title").alias("field"), F.lit(1).alias("effect"), c.alias("text"), F.lit("title").alias("source"))
+    evidence = text.limit_evidence(F.array(piece(whole), piece(F.concat(F.lit("  "), "p_type", F.lit(" "))), piece(F.lit("third"))), 2, 12)
+    skills = text.limit_skills(F.array(F.col("p_type"), F.lit("extra"), F.upper("p_type"), whole), 2)
+    signals = health.limit_signals(F.array(F.lit(" s1 "), F.lit(" "), F.concat(F.lit("\n"), "p_type"), F.lit("s3")), 2)
+    return table(spark, sf, "part").select(
+        "p_partkey", text.limit_text(whole, 18).alias("short"), F.array_join(skills, ",").alias("skills"),
+        F.array_join(F.transform(evidence, lambda e: e["text"]), "|").alias("evidence"), F.array_join(signals, ",").alias("signals"),
+    )
