@@ -7,10 +7,10 @@ import uuid
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from postlens.operators import history, retention, sources as source_state, state
+from postlens.operators import history, retention, rollups, sources as source_state, state
 from postlens.plans import views
 from postlens.plans.collect import collect_run, cut
-from postlens.schemas import INGEST_BATCHES, JOB_VERSIONS, JOBS, TABLES, struct
+from postlens.schemas import INGEST_BATCHES, JOB_VERSIONS, JOBS, KEYS, TABLES, struct
 from postlens.session import shared_folder
 from postlens.sources.details import enrich_details
 from postlens.sources.registry import parse_board_c
@@ -791,6 +791,42 @@ def stored_postings(spark, sf):
     return tables.read("jobs").select("external_id", "source_id", "score", "first_seen_at", "updated_at")
 
 
+@query(
+    "rollup_by_deltas",
+    with_ctes(
+        {
+            **ctes("jobs"),
+            "merged": f"""SELECT coalesce(d.company_id, o.company_id) AS company_id, coalesce(d.source_id, o.source_id) AS source_id, coalesce(d.score + 1, o.score) AS score,
+  CASE WHEN d.id IS NULL THEN o.status ELSE 'open' END AS status FROM (SELECT * FROM jobs WHERE first_seen_at < {_OLD}) o
+  FULL JOIN (SELECT * FROM jobs WHERE first_seen_at >= {_NEW}) d ON o.source_id = d.source_id AND o.external_id = d.external_id""",
+            "aged": "SELECT company_id, source_id, score, CASE WHEN score % 5 = 0 THEN 'closed' ELSE status END AS status FROM merged WHERE score % 11 <> 0",
+        },
+        """SELECT company_id, source_id, count(*) AS postings, count(*) FILTER (status = 'open') AS open, count(*) FILTER (status <> 'open') AS closed,
+  count(*) FILTER (status = 'open' AND score >= 70) AS good, CAST(sum(score) AS BIGINT) AS score_sum FROM aged GROUP BY ALL""",
+    ),
+)
+def rollup_by_deltas(spark, sf):
+    """Counts after an upsert, a closing and a removal, each taken from the change alone and published with it."""
+    tables = Tables(spark, _fresh(spark, "tables"), {"jobs": JOBS, "rollup": rollups.ROLLUP}, {"jobs": KEYS["jobs"], "rollup": rollups.ROLLUP_KEY}, buckets=4)
+    jobs = st.jobs(spark, sf)
+    old = jobs.filter(F.col("first_seen_at") < _OLD)
+    tables.commit({"jobs": old, "rollup": rollups.rollup(old)})
+
+    def publish(at, change):
+        before = rollups.changed_postings(at.read("jobs"), change)
+        tables.commit({"jobs": change, "rollup": rollups.rollup_delta(at.read("rollup"), before, change.rows)}, base=at.version)
+
+    at = tables.snapshot()
+    delta = jobs.filter(F.col("first_seen_at") >= _NEW).withColumns({"score": F.col("score") + 1, "run_id": F.lit("run_1999"), "fetched_at": _now()})
+    merged = state.upsert_jobs(at.read("jobs"), state.incoming_jobs(delta, _now()), mark="touched")
+    publish(at, Delta(merged.filter("touched").drop("touched")))
+    at = tables.snapshot()
+    publish(at, Delta(at.read("jobs").filter("score % 5 = 0").withColumn("status", F.lit("closed"))))
+    at = tables.snapshot()
+    publish(at, Delta(at.read("jobs").limit(0), gone=at.read("jobs").filter("score % 11 = 0")))
+    return tables.read("rollup").drop("groups")
+
+
 _FEED_RUN = "run_feed"
 
 
