@@ -66,9 +66,17 @@ def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 made += 1
 
 
+#: Rows of two kinds: a frequent word with its number among its task's, or where such words stand in a block.
+NUMBERED = "part long, lang string, word string, f long, local long, block long, at array<int>, locals array<long>"
+
+
 def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the words of a task, whose rows come word by word: part, local (from 0), and whether a row is a word's first."""
+    """Number the words of a task, whose rows come word by word, from 0.
+
+    Each batch gives a row for each word that begins in it, and one for each of its blocks, so that what goes to the blocks
+    is gathered before it is sent."""
     part, local, last = TaskContext.get().partitionId(), -1, None
+    schema = pa.schema([("part", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()), ("local", pa.int64()), ("block", pa.int64()), ("at", pa.list_(pa.int32())), ("locals", pa.list_(pa.int64()))])
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -81,8 +89,15 @@ def number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (lang[-1].as_py(), word[-1].as_py())
         numbers = local + np.cumsum(first)
         local = int(numbers[-1])
-        made = [pa.array(np.full(len(first), part)), pa.array(numbers), pa.array(first)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "part", "local", "first"])
+        new, n = pa.array(first), int(first.sum())
+        words = [pa.array(np.full(n, part)), lang.filter(new), word.filter(new), batch.column("f").filter(new), pa.array(numbers[first])]
+        yield pa.RecordBatch.from_arrays([*words, *(pa.nulls(n, schema.field(c).type) for c in ("block", "at", "locals"))], schema=schema)
+        blocks = batch.column("block").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        own, begins = np.unique(blocks[order], return_index=True)
+        edges = pa.array(np.append(begins, len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x[order])) for x in (batch.column("at").to_numpy(), numbers)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part)), *(pa.nulls(len(own), schema.field(c).type) for c in ("lang", "word", "f", "local")), pa.array(own), *lists], schema=schema)
 
 
 def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,17 +206,18 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, scratch: Scratch
     word = F.col("of.words").alias("word")
     # A word's rows are at most one for each block.
     counted = seen.select("block", "lang", "at", word, F.sum("of.counts").over(Window.partitionBy("lang", "of.words")).alias("f"))
-    numbered = counted.where(F.col("f") >= least).mapInArrow(number_words, "block long, lang string, at int, word string, f long, part long, local long, first boolean")
-    numbered = scratch.keep(numbered, "numbered")
-    sizes = dict(tuple(r) for r in numbered.groupBy("part").agg(F.max("local") + 1).collect())
+    numbered = scratch.keep(counted.where(F.col("f") >= least).mapInArrow(number_words, NUMBERED), "numbered")
+    sizes = dict(tuple(r) for r in numbered.groupBy("part").agg(F.max("local") + 1).where("part IS NOT NULL").collect())
     bases, n_words = [], 0
     for part in range(max(sizes, default=0) + 1):
         bases.append(n_words)
         n_words += sizes.get(part, 0)
-    numbered = numbered.withColumn("id", (F.element_at(F.lit(bases), (F.col("part") + 1).cast("int")) + F.col("local") + 1).cast("int"))
-    words = numbered.where("first").select("lang", "word", "f", "id")
+    base = F.element_at(F.lit(bases), (F.col("part") + 1).cast("int")) + 1
+    words = numbered.where("block IS NULL").select("lang", "word", "f", (base + F.col("local")).cast("int").alias("id"))
     digits = max(1, -(-n_words.bit_length() // 8))
-    known = numbered.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("ids"))
+    placed = numbered.where("block IS NOT NULL").select("block", "at", base.alias("base"), "locals")
+    placed = placed.select("block", "at", F.transform("locals", lambda x: (x + F.col("base")).cast("int")).alias("ids"))
+    known = placed.groupBy("block").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("ids")).alias("ids"))
     corpus = blocks.select("block", "numbers", F.size("words").alias("size")).join(known, "block")
     corpus = scratch.keep(corpus.mapInArrow(renumber, "ids binary"), "corpus", compression="zstd")
     totals = scratch.keep(totals, "totals")
