@@ -24,6 +24,8 @@ BLOCK = 4 << 20
 #: Bits of the filter of frequent phrases, a whole number of Spark's bitmaps.
 FILTER = 1 << 23
 MIX = 1_000_003
+#: Phrases that a task holds before it sends them.
+GATHERED = 1 << 21
 #: A byte of a word, a blank between words, the end of a piece.
 WORD, BLANK, END = 0, 1, 2
 KINDS = bytes(END if b in b".,;:!?\n\x0b\x0c\r" else BLANK if b in b" \t" else WORD for b in range(256))
@@ -150,10 +152,16 @@ def phrase_filter(phrases: DataFrame) -> np.ndarray:
 
 
 def longer(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases of a trie with the frequent word behind them, each once a block, where the words without the first
-    are a frequent phrase by the filter."""
+    """The phrases of a trie with the frequent word behind them, where the words without the first are a frequent phrase by
+    the filter. The blocks of a task are put together, so a phrase is sent once, or once for each GATHERED of them."""
     trie, known = sent.value
     known = np.unpackbits(known, bitorder="little").view(bool)
+
+    def rows(found: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(found))
+        return phrase_rows(np.column_stack([trie.rows[keys >> 32], keys & 0xFFFFFFFF]), np.zeros(len(keys)))
+
+    found, size = [], 0
     for block in blocks_of(batches):
         ids = np.append(block, np.zeros(trie.length, np.int32))
         at, row = trie.find(ids)
@@ -162,8 +170,13 @@ def longer(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for j in range(1, trie.length + 1):
             mixed = (mixed * MIX + ids[at + j]) % FILTER
         safe = known[mixed]
-        keys = np.unique(row[safe].astype(np.int64) << 32 | ids[at[safe] + trie.length])
-        yield phrase_rows(np.column_stack([trie.rows[keys >> 32], keys & 0xFFFFFFFF]), np.zeros(len(keys)))
+        found.append(np.unique(row[safe].astype(np.int64) << 32 | ids[at[safe] + trie.length]))
+        size += len(found[-1])
+        if size > GATHERED:
+            yield rows(found)
+            found, size = [], 0
+    if found:
+        yield rows(found)
 
 
 def count_accepted(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
