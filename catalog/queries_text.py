@@ -185,7 +185,7 @@ SELECT c_custkey, CASE m WHEN 'BUILDING' THEN 'blocked-protocol' WHEN 'FURNITURE
   ELSE CASE WHEN a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 198 AND b BETWEEN 18 AND 19) OR (a = 192 AND b = 0) THEN 'private-ip' ELSE 'ok' END END AS safety FROM u""",
 )
 def url_safety(spark, sf):
-    c = table(spark, sf, "customer")
+    c = spread(table(spark, sf, "customer"))
     a, b = (F.col("c_custkey") % 256).cast("string"), F.col("c_nationkey").cast("string")
     made = {
         "AUTOMOBILE": F.concat(F.lit("http://"), a, F.lit("."), b, F.lit(".0.1/x")),

@@ -227,3 +227,11 @@ def test_the_sql_function_gives_what_the_column_gives(spark):
     rows = spark.createDataFrame([(u,) for u in SAME_IN_SQL], "u string")
     for row in rows.select("u", url.canonical_url(F.col("u")).alias("column"), F.expr("posting_canonical_url(u)").alias("named")).collect():
         assert row.column == row.named, row.u
+
+
+def test_url_safety_reads_a_numeric_host_once(spark):
+    from postlens.functions.url import url_safety
+
+    rows = spark.createDataFrame([("http://10.1.2.3/x",), ("http://0x7f.1/",), ("http://8.8.8.8/",), (None,)], "u string").select(url_safety(F.col("u")).alias("s"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert [r.s for r in rows.collect()] == ["private-ip", "private-ip", "ok", "invalid-url"]
