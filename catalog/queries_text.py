@@ -52,10 +52,17 @@ f AS (SELECT doc_id, lower(word) AS k, arg_min(word, i) AS word, min(i) AS i FRO
 SELECT doc_id, count(*) AS words, sha256(string_agg(word, ' ' ORDER BY i)) AS spelled FROM f GROUP BY doc_id""",
 )
 def unique_words(spark, sf):
-    """First spelling of every word. Whole texts are exploded, so no long array is compared with itself."""
-    words = _documents(spark, sf).select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "raw"))
-    words = words.withColumn("word", text.normalize_whitespace(F.col("raw"))).filter(F.col("word") != "")
-    firsts = words.groupBy("doc_id", F.lower("word").alias("k")).agg(F.min(F.struct("i", "word")).alias("f"))
+    """First spelling of every word. Whole texts are exploded, so no long array is compared with itself.
+
+    Texts meet by document before they are taken apart, so no word is shuffled, and equal spellings are one row before they are sorted."""
+    docs = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    raw, i = F.col("raw"), F.col("i")
+    # The outer explode keeps Spark from deriving a filter, which would split every text twice more.
+    words = docs.select("doc_id", F.posexplode_outer(F.split("text", " ")).alias("i", "raw"))
+    spelled = words.groupBy("doc_id", "raw").agg(F.min("i").alias("i"))
+    # A word without any of these characters is tidy.
+    spelled = spelled.withColumn("word", F.when(raw.rlike(f"[{text.TRIM_CHARS}]"), text.normalize_whitespace(raw)).otherwise(raw)).filter(F.col("word") != "")
+    firsts = spelled.groupBy("doc_id", F.lower("word").alias("k")).agg(F.min(F.struct(i, "word")).alias("f"))
     listed = F.transform(F.array_sort(F.collect_list("f")), lambda x: x["word"])
     return firsts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sha2(F.array_join(listed, " "), 256).alias("spelled"))
 
