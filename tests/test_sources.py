@@ -169,3 +169,15 @@ def test_tables_publish_only_finished_commits(spark, tmp_path):
     assert tables.version() == 2
     assert tables.replace("a", tables.read("a").filter("id > 1")) == 3
     assert tables.read("a").count() == 1
+
+
+def test_unreadable_scripts_are_counted_without_a_search_for_postings(spark):
+    from postlens.sources import registry
+
+    body = '<script type="application/ld+json">{broken JobPosting</script><script type="application/ld+json">{"a":[{"@type":"JobPosting","title":"T"}]}</script>'
+    rows = spark.createDataFrame([("jsonld", body), ("jsonld", "none"), ("jsonld", None)], "kind string, body string")
+    parsed = registry.with_items(rows, ("jsonld",))
+    alone = parsed.select("unreadable")
+    assert "@type" not in alone._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.unreadable for r in alone.collect()] == [1, 0, 0]
+    assert [r.n for r in parsed.select(F.size("items").alias("n")).collect()] == [1, 0, None]
