@@ -312,3 +312,16 @@ def test_custom_kinds_parse_the_landing_that_counts(make):
     result = collect_run(landed, state_tables(make, sources=[source("own", "jsonld")]), F.lit(1000), custom={"jsonld": parser})
     assert sorted(j.external_id for j in result.tables["jobs"].collect()) == ["a", "b", "c"]
     assert result.observations.first().fetched_job_count == 3
+
+
+def test_per_source_rows_are_not_broadcast(spark):
+    """A side with a row for each source and salt compresses well, so its file or shuffle tells little of its size in the driver."""
+    from postlens.operators.joins import join_salted, join_shuffled
+
+    many = spark.createDataFrame([("s1", "a"), ("s1", "b"), ("s2", "c"), (None, "d")], "source_id string, n string")
+    few = spark.createDataFrame([("s1", 1), (None, 2)], "source_id string, v int")
+    for joined in (join_salted(many, few, ["source_id"], ["n"], "left"), join_shuffled(many, few, "source_id", "left")):
+        rows = sorted((r.source_id or "", r.n, r.v or 0) for r in joined.collect())
+        assert rows == [("", "d", 0), ("s1", "a", 1), ("s1", "b", 1), ("s2", "c", 0)]
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
