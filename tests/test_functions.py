@@ -235,3 +235,15 @@ def test_url_safety_reads_a_numeric_host_once(spark):
     rows = spark.createDataFrame([("http://10.1.2.3/x",), ("http://0x7f.1/",), ("http://8.8.8.8/",), (None,)], "u string").select(url_safety(F.col("u")).alias("s"))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
     assert [r.s for r in rows.collect()] == ["private-ip", "private-ip", "ok", "invalid-url"]
+
+
+def test_zones_take_one_test_a_place_and_are_found_as_before(column):
+    from postlens.functions.classify import TIMEZONE, timezone
+    from postlens.functions.text import ascii_regex
+
+    pattern = ascii_regex(TIMEZONE)
+    # Both kinds of zones stand behind one look back, and no class of letters is written out in it.
+    assert pattern.startswith(r"(?i)(?<!\w)(?:(?:UTC|GMT)") and "[A-Za-z0-9_]" not in pattern
+    texts = ["utc +9", "xutc+9 or kst", "pst", "_pst est", "\u00e9pst", "gmt", "at 9 et.", "pstx", "gmt\u00a0- 03:30", "utc+123", "cest9 aest"]
+    expected = ["UTC+9", "KST", "PST", "EST", "PST", None, "ET", None, "GMT\u00a0-03:30", "UTC+12", "AEST"]
+    assert column([(t,) for t in texts], "t string", timezone(F.col("t"))) == expected
