@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -26,6 +26,12 @@ FILTER = 1 << 23
 MIX = 1_000_003
 #: Phrases that a task holds before it sends them.
 GATHERED = 1 << 21
+#: Counters of one slice, in which they are sent.
+SLICE = 1 << 13
+#: Buckets of hashes at most, about; a task holds a counter for each.
+BUCKETS = 1 << 25
+#: Bits of the hash by which packed phrases meet.
+PARTS = 8
 #: A byte of a word, a blank between words, the end of a piece.
 WORD, BLANK, END = 0, 1, 2
 KINDS = bytes(END if b in b".,;:!?\n\x0b\x0c\r" else BLANK if b in b" \t" else WORD for b in range(256))
@@ -151,56 +157,179 @@ def phrase_filter(phrases: DataFrame) -> np.ndarray:
     return out
 
 
-def longer(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases of a trie with the frequent word behind them, where the words without the first are a frequent phrase by
-    the filter. The blocks of a task are put together, so a phrase is sent once, or once for each GATHERED of them."""
+def hashes(words: Iterable[np.ndarray]) -> np.ndarray:
+    """Hashes of 64 bits of phrases, whose first, second ... words are given."""
+    mixed = np.uint64(0)
+    for ids in words:
+        mixed = (mixed + ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+    return mixed * np.uint64(0xD6E8FEB86659FD93)
+
+
+def top_bits(hashed: np.ndarray, bits: int) -> np.ndarray:
+    return (hashed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def extended(trie: Trie, known: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row and next word in one number, hash) at each place of a phrase of a trie with a frequent word behind it, where
+    the words without the first are a frequent phrase by the filter."""
+    ids = np.append(block, np.zeros(trie.length, np.int32))
+    at, row = trie.find(ids)
+    at, row = at[ids[at + trie.length] > 0], row[ids[at + trie.length] > 0]
+    mixed = np.zeros(len(at), np.int64)
+    for j in range(1, trie.length + 1):
+        mixed = (mixed * MIX + ids[at + j]) % FILTER
+    safe = known[mixed]
+    at, row = at[safe], row[safe]
+    return row.astype(np.int64) << 32 | ids[at + trie.length], hashes(ids[at + j] for j in range(trie.length + 1))
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, bitorder="little").view(bool)
+
+
+def slices(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The slices of a task's counters in which anything was counted, with their numbers."""
+    for begin in range(0, len(counts), 256 * SLICE):
+        own = [counts[i : i + SLICE] for i in range(begin, min(begin + 256 * SLICE, len(counts)), SLICE)]
+        filled = [i for i, x in enumerate(own) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([begin // SLICE + i for i in filled], pa.int64()), pa.array([own[i].tobytes() for i in filled], pa.binary())], names=["part", "counts"])
+
+
+def summed(batches: Iterator[pa.RecordBatch], dtype, most: int | None = None) -> dict[int, np.ndarray]:
+    """The counters of all tasks, slice by slice, up to `most`."""
+    out = {}
+    for batch in batches:
+        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
+            total = out.get(part, np.int64(0)) + np.frombuffer(counts.as_buffer(), dtype).astype(np.int64)
+            out[part] = (total if most is None else np.minimum(total, most)).astype(dtype)
+    return out
+
+
+def counter(least: int):
+    """The smallest type that holds counts up to `least`."""
+    return np.min_scalar_type(least)
+
+
+def tally(sent, bits: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many places of longer phrases fall into each of 2^`bits` buckets, up to `least`, at which a bucket is hot anyway."""
     trie, known = sent.value
-    known = np.unpackbits(known, bitorder="little").view(bool)
+    known, counts = unpacked(known), np.zeros(1 << bits, counter(least))
+    for block in blocks_of(batches):
+        _, hashed = extended(trie, known, block)
+        bucket, n = np.unique(top_bits(hashed, bits), return_counts=True)
+        counts[bucket] = np.minimum(counts[bucket].astype(np.int64) + n, least)
+    yield from slices(counts)
+
+
+def hot(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bit for each bucket of a slice: whether all tasks together counted `least` there."""
+    own = summed(batches, counter(least), least)
+    yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([np.packbits(x >= least, bitorder="little").tobytes() for x in own.values()], pa.binary())], names=["part", "bits"])
+
 
-    def rows(found: list[np.ndarray]) -> pa.RecordBatch:
+def hot_buckets(corpus: DataFrame, sent, bits: int, least: int) -> np.ndarray:
+    """A bit for each bucket in which at least `least` places of longer phrases fall: no other holds a frequent phrase."""
+    counts = corpus.mapInArrow(lambda batches: tally(sent, bits, least, batches), "part long, counts binary").repartition("part")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in counts.mapInArrow(lambda batches: hot(least, batches), "part long, bits binary").collect():
+        out[r.part * SLICE // 8 : (r.part + 1) * SLICE // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def longer(sent, filled, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of a trie with the next word that fall into hot buckets, packed by parts of the hashes. The blocks of a
+    task are put together, so a phrase is sent once, or once for each GATHERED of them."""
+    trie, known = sent.value
+    known, filled = unpacked(known), unpacked(filled.value)
+
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
         keys = np.unique(np.concatenate(found))
-        return phrase_rows(np.column_stack([trie.rows[keys >> 32], keys & 0xFFFFFFFF]), np.zeros(len(keys)))
+        rows = np.column_stack([trie.rows[keys >> 32], keys & 0xFFFFFFFF]).astype(np.int32)
+        part = top_bits(hashes(rows.T), PARTS)
+        order = np.argsort(part, kind="stable")
+        parts, begins = np.unique(part[order], return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(parts), pa.array([x.tobytes() for x in np.split(rows[order], begins[1:])][: len(parts)], pa.binary())], names=["part", "phrases"])
 
     found, size = [], 0
     for block in blocks_of(batches):
-        ids = np.append(block, np.zeros(trie.length, np.int32))
-        at, row = trie.find(ids)
-        at, row = at[ids[at + trie.length] > 0], row[ids[at + trie.length] > 0]
-        mixed = np.zeros(len(at), np.int64)
-        for j in range(1, trie.length + 1):
-            mixed = (mixed * MIX + ids[at + j]) % FILTER
-        safe = known[mixed]
-        found.append(np.unique(row[safe].astype(np.int64) << 32 | ids[at[safe] + trie.length]))
+        keys, hashed = extended(trie, known, block)
+        found.append(np.unique(keys[filled[top_bits(hashed, bits)]]))
         size += len(found[-1])
         if size > GATHERED:
-            yield rows(found)
+            yield packed(found)
             found, size = [], 0
     if found:
-        yield rows(found)
+        yield packed(found)
+
+
+def distinct_phrases(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct ones of packed phrases, which meet by part."""
+    waiting, size = [np.zeros((0, length), np.int32)], 0
+
+    def together() -> np.ndarray:
+        return np.unique(np.concatenate(waiting), axis=0)
+
+    for batch in batches:
+        for phrases in batch.column("phrases"):
+            waiting.append(np.frombuffer(phrases.as_buffer(), np.int32).reshape(-1, length))
+            size += len(waiting[-1])
+        if size > max(GATHERED, len(waiting[0])):
+            waiting, size = [together()], 0
+    own = together()
+    edges = pa.array(np.arange(len(own) + 1, dtype=np.int32) * length)
+    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(edges, pa.array(own.ravel()))], names=["ids"])
 
 
 def count_accepted(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each phrase of a trie stands in the task's blocks."""
-    trie, _ = sent.value
-    total = np.zeros(len(trie.rows), np.int64)
+    """How often each phrase of a trie stands in the task's blocks, by the number of its accepting state."""
+    trie = sent.value
+    total = np.zeros(-(-len(trie.rows) // SLICE) * SLICE, np.int64)
     for block in blocks_of(batches):
         _, row = trie.find(block)
         total += np.bincount(row, minlength=len(total))
-    at = np.flatnonzero(total)
-    yield phrase_rows(trie.rows[at], total[at])
+    yield from slices(total)
+
 
+def accepted(sent, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of a trie that stand `least` times in all blocks."""
+    trie = sent.value
+    for part, counts in summed(batches, np.int64).items():
+        at = np.flatnonzero(counts >= least)
+        yield phrase_rows(trie.rows[part * SLICE + at], counts[at])
 
-def over_tries(corpus: DataFrame, phrases: DataFrame, n: int, digits: int, length: int, scan, known: np.ndarray | None = None) -> DataFrame:
-    """`scan` of the corpus for the tries of all `phrases`, about SHARD of them at most in each trie, and the filter `known`.
 
-    The driver holds the phrases of one trie at a time."""
-    spark, shards, out = corpus.sparkSession, -(-n // SHARD), []
+def tries(phrases: DataFrame, n: int, digits: int, length: int) -> Iterator[Trie]:
+    """Tries of all `phrases`, about SHARD of them at most in each. The driver holds the phrases of one trie at a time."""
+    shards = -(-n // SHARD)
     for shard in range(shards):
         own = phrases.where(F.pmod(F.hash("ids"), F.lit(shards)) == shard) if shards > 1 else phrases
         found = own.select("ids").toArrow().column(0).combine_chunks()
-        rows = found.flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(-1, length)
-        sent = spark.sparkContext.broadcast((Trie(rows, digits), known))
-        out.append(corpus.mapInArrow(lambda batches, sent=sent: scan(sent, batches), "ids array<int>, f long"))
+        yield Trie(found.flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(-1, length), digits)
+
+
+def candidates_of(corpus: DataFrame, shorter: DataFrame, n: int, digits: int, length: int, least: int, places: int) -> DataFrame:
+    """The phrases of `length` words that may be frequent: `n` phrases `shorter` by one, which have `places`, with the word behind them.
+
+    Places are first counted in buckets of hashes; phrases of buckets that hold fewer than `least` are left out. These are most, as
+    frequent pairs meet in many ways that occur a few times each. The phrases of a trie have their own buckets; all together have
+    eight for each phrase that could be frequent, but about BUCKETS at most. Fuller buckets let more phrases pass and hold none back."""
+    spark, known, out = corpus.sparkSession, phrase_filter(shorter), []
+    bits = (max(SLICE, min(BUCKETS, 8 * places // least) // -(-n // SHARD)) - 1).bit_length()
+    for trie in tries(shorter, n, digits, length - 1):
+        sent = spark.sparkContext.broadcast((trie, known))
+        filled = spark.sparkContext.broadcast(hot_buckets(corpus, sent, bits, least))
+        out.append(corpus.mapInArrow(lambda batches, sent=sent, filled=filled: longer(sent, filled, bits, batches), "part long, phrases binary"))
+    return reduce(DataFrame.unionAll, out).repartition("part").mapInArrow(lambda batches: distinct_phrases(length, batches), "ids array<int>")
+
+
+def counted_by_tries(corpus: DataFrame, candidates: DataFrame, n: int, digits: int, length: int, least: int) -> DataFrame:
+    """(ids, f) of the `n` candidates that stand `least` times in the corpus."""
+    spark, out = corpus.sparkSession, []
+    for trie in tries(candidates, n, digits, length):
+        sent = spark.sparkContext.broadcast(trie)
+        counts = corpus.mapInArrow(lambda batches, sent=sent: count_accepted(sent, batches), "part long, counts binary").repartition("part")
+        out.append(counts.mapInArrow(lambda batches, sent=sent: accepted(sent, least, batches), "ids array<int>, f long"))
     return reduce(DataFrame.unionAll, out)
 
 
@@ -210,8 +339,9 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, scratch: Scratch
     Words and pairs are counted block by block and summed: no set of pairs that Apriori rules allow is smaller than all
     pairs of frequent words. From three words on, candidates are the phrases that occur and whose first and last words
     but one are frequent phrases themselves (the last ones by a filter, which may let others pass but holds none of
-    them back); tries of them are broadcast and count all texts."""
-    spark = docs.sparkSession
+    them back) and whose bucket of hashes holds enough places; tries of them are broadcast and count all texts."""
+    # Phrases that occur stand at least once.
+    spark, least = docs.sparkSession, max(1, least)
     columns = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = scratch.keep(columns.mapInArrow(to_blocks, "block long, lang string, words array<string>, counts array<long>, numbers binary"), "blocks", compression="zstd")
     totals = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
@@ -243,15 +373,16 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, scratch: Scratch
             halves = F.array(F.shiftright("pair", 32).cast("int"), F.col("pair").bitwiseAND(0xFFFFFFFF).cast("int"))
             found = found.select(halves.alias("ids"), "f")
         else:
-            shorter, n = tables[-1], tables[-1].count()
+            shorter = tables[-1]
+            n, places = shorter.agg(F.count("ids"), F.sum("f")).first()
             if not n:
                 break
-            candidates = over_tries(corpus, shorter, n, digits, length - 1, longer, phrase_filter(shorter)).select("ids").distinct()
+            candidates = candidates_of(corpus, shorter, n, digits, length, least, places)
             candidates = scratch.keep(candidates, f"candidates{length}")
             n = candidates.count()
             if not n:
                 break
-            found = over_tries(corpus, candidates, n, digits, length, count_accepted).groupBy("ids").agg(F.sum("f").alias("f")).where(frequent)
+            found = counted_by_tries(corpus, candidates, n, digits, length, least)
         tables.append(scratch.keep(found, f"phrases{length}"))
     return totals, words, scratch.keep(reduce(DataFrame.unionAll, tables), "phrases")
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from postlens.llm import phrases
+from postlens.llm.shared import Scratch
 from postlens.llm.trie import Trie
 
 DOCS = "lang string, text string, word string, ids int, n long"
@@ -59,6 +60,41 @@ def test_collocations_equal_brute_force(spark, rows, monkeypatch, least, shard,
     assert sorted(tuple(r) for r in found) == sorted(brute(rows, least, 5 if shard > 7 else 3, top, held))
 
 
+def test_only_phrases_of_full_buckets_become_candidates(spark):
+    """All pairs of the words are frequent, their triples are not: they are counted in buckets and not sent one by one."""
+    pick = random.Random(4)
+    texts = [" ".join(f"w{pick.randrange(40)}" for _ in range(500)) + ". red green blue" for _ in range(200)]
+    scratch = Scratch(spark, "phrases")
+    docs = spark.createDataFrame([("en", x) for x in texts], "lang string, text string").repartition(4)
+    found = phrases.frequent_phrases(docs, 30, 3, scratch)[2].where("size(ids) = 3").collect()
+    assert [r.f for r in found] == [200]
+    triples = {tuple(x[i : i + 3]) for x in (t.split(".")[0].split() for t in texts) for i in range(498)}
+    assert len(triples) > 40_000
+    assert spark.read.parquet(scratch.path("candidates3")).count() < 1000
+
+
+@pytest.mark.parametrize(("least", "slice_", "buckets"), [(4, 8, 8), (300, 16, 64)])
+def test_full_buckets_hold_no_phrase_back(spark, rows, monkeypatch, least, slice_, buckets):
+    """A few buckets, which all phrases share, and counters beyond one byte; several tries and slices of each."""
+    monkeypatch.setattr(phrases, "SLICE", slice_)
+    monkeypatch.setattr(phrases, "BUCKETS", buckets)
+    monkeypatch.setattr(phrases, "SHARD", 50)
+    rows = rows * (1 if least < 300 else 20)
+    found = phrases.collocations(spark.createDataFrame(rows, DOCS).repartition(3), least, 4).collect()
+    expected = brute(rows, least, 4)
+    assert expected and sorted(tuple(r) for r in found) == sorted(expected)
+
+
+def test_counters_of_tasks_add_up():
+    """Slices without counts are not sent; sums stop at `most`, and no counter runs over."""
+    counts = np.zeros(3 * phrases.SLICE, np.uint8)
+    counts[[0, 5, -1]] = 1, 200, 255
+    sent = [b for _ in range(3) for b in phrases.slices(counts)]
+    assert [p for b in sent[:1] for p in b.column("part").to_pylist()] == [0, 2]
+    own = phrases.summed(iter(sent), np.uint8, 255)
+    assert {p: x[x > 0].tolist() for p, x in own.items()} == {0: [3, 255], 2: [255]}
+
+
 def test_no_frequent_phrase_and_no_documents(spark):
     assert phrases.collocations(spark.createDataFrame([("en", "a b c", "", 1, 2)], DOCS)).isEmpty()
     assert phrases.collocations(spark.createDataFrame([], DOCS)).isEmpty()
