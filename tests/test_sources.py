@@ -181,3 +181,29 @@ def test_unreadable_scripts_are_counted_without_a_search_for_postings(spark):
     assert "@type" not in alone._jdf.queryExecution().optimizedPlan().toString()
     assert [r.unreadable for r in alone.collect()] == [1, 0, 0]
     assert [r.n for r in parsed.select(F.size("items").alias("n")).collect()] == [1, 0, None]
+
+
+def ld_page(*scripts):
+    return "".join(f'<script type="application/ld+json">{s if isinstance(s, str) else json.dumps(s)}</script>' for s in scripts)
+
+
+def test_jsonld_is_searched_in_its_text(make):
+    """Braces and names in strings, what follows a value, names with escapes, and types after other objects."""
+    posting = lambda i, **more: {"@type": "JobPosting", "identifier": i, **more}
+    late = {"@graph": [posting("b1")], "@context": {"a": {"b": [{}]}}, "identifier": "b0", "@type": ["x]", "jobPosting"]}
+    page = ld_page(
+        {"z": posting("a2", title='} {"@type":"JobPosting"} "'), "m": [{"n": posting("a1")}], "@id": posting("a0", similar=posting("a01"))}, late,
+        '{"\\u0040type": "JobPosting", "identifier": "c", "title": ["t", 1e999, {"k": "no"}, [["{"]]]} "{', json.dumps(json.dumps(posting("none"))), {"@type": {"@type": "JobPosting"}, "identifier": "none"},
+    )
+    df = feed(make, "jsonld", page)
+    rows = registry.parse_jsonld(df).orderBy("ordinal").collect()
+    # {"@type": {"@type": ...}} holds a posting without a name or a link of its own.
+    assert [r.external_id for r in rows] == ["a0", "a01", "a1", "a2", "b0", "b1", "c", "https://base.com/careers"]
+    assert [r.title for r in rows if r.external_id in ("a2", "c")] == ['} {"@type":"JobPosting"} "', "t · {"]
+
+
+def test_jsonld_levels_are_not_copied_one_by_one(make):
+    """Each level of a script used to be taken apart into values of its own, which copied all below it."""
+    items = registry.with_items(feed(make, "jsonld", ld_page(nested({"@type": "JobPosting", "identifier": "d"}, 300))), ("jsonld",)).select("items")
+    assert "MapType(StringType,VariantType" not in items._jdf.queryExecution().optimizedPlan().toString()
+    assert len(items.first()["items"]) == 1
