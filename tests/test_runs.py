@@ -325,3 +325,15 @@ def test_per_source_rows_are_not_broadcast(spark):
         assert rows == [("", "d", 0), ("s1", "a", 1), ("s1", "b", 1), ("s2", "c", 0)]
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_wide_rows_of_a_run_are_sent_once_before_the_state(make):
+    """A run's postings used to be dealt by key for the last of each, for their prints again, and by source for its facts."""
+    sources = [source("s", "greenhouse"), source("t", "greenhouse")]
+    one, two = response("s", board("A", "B")), response("s", board("A", "C"), url="https://u?page=2", fetched_at=60)
+    result = collect_run(make(S.RESPONSE, one, two, response("t", board("A"))), state_tables(make, sources=sources), F.lit(1000))
+    versions = result.changes["job_versions"].rows
+    text = versions._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((j.source_id, j.external_id, j.title) for j in result.tables["jobs"].collect()) == [("s", "0", "A"), ("s", "1", "C"), ("t", "0", "A")]
+    joins = [line for line in text.splitlines() if "Join" in line and "_row#" in line]
+    assert joins and not [line for line in joins if "content_hash#" in line]
