@@ -207,3 +207,18 @@ def test_jsonld_levels_are_not_copied_one_by_one(make):
     items = registry.with_items(feed(make, "jsonld", ld_page(nested({"@type": "JobPosting", "identifier": "d"}, 300))), ("jsonld",)).select("items")
     assert "MapType(StringType,VariantType" not in items._jdf.queryExecution().optimizedPlan().toString()
     assert len(items.first()["items"]) == 1
+
+
+def test_looked_up_details_are_kept_once(make, spark):
+    """Postings and signals both derive from what the caller has kept."""
+    postings = registry.parse_html_cards(feed(make, "static-html", card_page(2), CARDS))
+    pages = spark.createDataFrame(
+        [("s1", "r1", "https://base.com/j/0", "<div class='description'>Detail 0</div>", ".description", None)],
+        "source_id string, run_id string, url string, body string, selector string, error string",
+    )
+    kept = []
+    enriched, signals = enrich_details(postings, pages, keep=lambda found: kept.append(found.localCheckpoint()) or kept[0])
+    assert len(kept) == 1
+    assert "body#" not in signals._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.description_text for r in enriched.orderBy("ordinal").collect()] == ["Detail 0", ""]
+    assert [r.signal for r in signals.collect()] == ["detail-fetch-failed:https://base.com/j/1:not landed"]
